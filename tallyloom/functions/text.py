@@ -14,6 +14,11 @@ from pyspark.sql import Column, functions as F
 
 from tallyloom.functions.fixed_values import WHITESPACE
 
+# JSON text of the values that count as nothing. A string is quoted in JSON
+# text, so the string "0" or "{}" is told apart from the number or the object.
+EMPTY = ('""', "{}", "[]", "null")
+ZERO = ("false", "0", "0.0", "-0.0")
+
 
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends; inspects only the edges."""
@@ -34,17 +39,11 @@ def is_string(value: Column) -> Column:
 
 
 def is_empty(value: Column) -> Column:
-    text = as_string(value)
-    # The kind is looked at only when the text could be an empty container.
-    container = text.isin("{}", "[]") & F.schema_of_variant(value).isin("OBJECT<>", "ARRAY<VOID>")
-    return value.isNull() | F.is_variant_null(value) | F.coalesce((text == "") | container, F.lit(False))
+    return F.coalesce(F.to_json(value).isin(*EMPTY), F.lit(True))
 
 
 def is_falsy(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    zero = ~kind.isin("STRING", "BOOLEAN") & (F.coalesce(as_string(value).try_cast("double"), F.lit(1.0)) == 0)
-    false = (kind == "BOOLEAN") & (as_string(value) == "false")
-    return is_empty(value) | F.coalesce(false | zero, F.lit(False))
+    return F.coalesce(F.to_json(value).isin(*EMPTY, *ZERO), F.lit(True))
 
 
 def first_filled(record: Column, keys) -> Column:
@@ -58,13 +57,8 @@ def first_truthy(record: Column, keys) -> Column:
 
 
 def to_text(value: Column) -> Column:
-    """Canonical text of a VARIANT value."""
-    return F.coalesce(
-        F.when(is_string(value), strip(as_string(value))).when(
-            ~F.is_variant_null(value), F.to_json(value)
-        ),
-        F.lit(""),
-    )
+    """Canonical text of a VARIANT value. JSON text has no blanks at its ends to lose."""
+    return F.coalesce(strip(as_string(value)), F.lit(""))
 
 
 # Equal objects must give equal text whatever their key order; VARIANT sorts keys.

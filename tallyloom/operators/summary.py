@@ -35,16 +35,22 @@ def elapsed(wall: Column, longest: Column) -> tuple[Column, Column]:
     )
 
 
-def throughput(df: DataFrame, keys: list[str], wall_time: str | None = None) -> DataFrame:
+def with_wall(totals: DataFrame, keys: list[str], wall: DataFrame | None) -> DataFrame:
+    """Join measured wall times, one ``wall_time`` per group, to the totals."""
+    if wall is None:
+        return totals.withColumn("wall_time", F.lit(None).cast("double"))
+    return null_safe_join(totals, wall.select(*keys, "wall_time"), keys, "left")
+
+
+def throughput(df: DataFrame, keys: list[str], wall: DataFrame | None = None) -> DataFrame:
     """Total tokens over elapsed time per group, with the basis used."""
-    wall = F.max(wall_time) if wall_time else F.lit(None).cast("double")
+    ok = F.col("success")
     totals = df.groupBy(*keys).agg(
-        wall.alias("wall"),
-        F.max(F.when(F.col("success"), F.col("total_time"))).alias("longest"),
-        F.coalesce(F.sum(F.when(F.col("success"), F.col("output_tokens"))), F.lit(0)).alias("tokens"),
+        F.max(F.when(ok, F.col("total_time"))).alias("longest"),
+        F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0)).alias("tokens"),
     )
-    seconds, basis = elapsed(F.col("wall"), F.col("longest"))
-    return totals.select(
+    seconds, basis = elapsed(F.col("wall_time"), F.col("longest"))
+    return with_wall(totals, keys, wall).select(
         *keys,
         F.col("tokens").alias("tokens_per_resp_total"),
         round_even(rate(F.col("tokens"), seconds), 2).alias("tps_aggregate"),
@@ -52,16 +58,15 @@ def throughput(df: DataFrame, keys: list[str], wall_time: str | None = None) ->
     )
 
 
-def summarize(df: DataFrame, keys: list[str], wall_time: str | None = None) -> DataFrame:
+def summarize(df: DataFrame, keys: list[str], wall: DataFrame | None = None) -> DataFrame:
     """One summary row per group of results.
 
     Metrics are over successful requests. A group without any has null metrics
-    and an ``error``. ``wall_time`` names a column with the measured wall time
-    of the group; without it the longest request stands in.
+    and an ``error``. ``wall`` has the measured ``wall_time`` of groups; without
+    one the longest request stands in.
     """
     ok = F.col("success")
     only = lambda c: F.when(ok, F.col(c))
-    wall = F.max(wall_time) if wall_time else F.lit(None).cast("double")
     totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests_total"),
         F.count_if(ok).alias("requests_ok"),
@@ -71,7 +76,6 @@ def summarize(df: DataFrame, keys: list[str], wall_time: str | None = None) -> D
         exact_mean(only("tokens_per_sec")).alias("tps_mean"),
         F.sum(only("output_tokens")).alias("tokens"),
         F.max(only("total_time")).alias("longest"),
-        wall.alias("wall"),
     )
     good = df.filter(ok)
     # Both measures are ranked in one pass, told apart by name.
@@ -94,10 +98,10 @@ def summarize(df: DataFrame, keys: list[str], wall_time: str | None = None) -> D
         ]
     )
     middle = lambda m: (F.col(f"{m}_lo") + F.col(f"{m}_hi")) / F.lit(2.0)
-    seconds, basis = elapsed(F.col("wall"), F.col("longest"))
+    seconds, basis = elapsed(F.col("wall_time"), F.col("longest"))
     tokens = F.col("tokens")
     failed = F.col("requests_ok") == 0
-    return null_safe_join(totals, wide, keys, "left").select(
+    return null_safe_join(with_wall(totals, keys, wall), wide, keys, "left").select(
         *keys,
         "requests_total",
         "requests_ok",
