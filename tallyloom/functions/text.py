@@ -7,18 +7,13 @@ Three notions of "nothing there" are kept apart:
 * ``to_text``   - null becomes ``""``, strings are stripped, the rest is JSON text
 
 JSON text comes from VARIANT, so object keys are sorted and the form is compact.
-``sources.pretty`` offers the indented, source-ordered rendering.
+``functions.pretty`` offers the indented, source-ordered rendering.
 """
 
 from pyspark.sql import Column, functions as F
 
 from tallyloom.functions.fixed_values import WHITESPACE
 
-# JSON text of the values that count as nothing. A string is quoted in JSON
-# text, so the string "0" or "{}" is told apart from the number or the object.
-EMPTY = ('""', "{}", "[]", "null")
-ZERO = ("false", "0", "0.0", "-0.0")
-
 
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends; inspects only the edges."""
@@ -39,21 +34,39 @@ def is_string(value: Column) -> Column:
 
 
 def is_empty(value: Column) -> Column:
-    return F.coalesce(F.to_json(value).isin(*EMPTY), F.lit(True))
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull() | kind.isin("VOID", "OBJECT<>"), F.lit(True))
+        .when(kind == "STRING", as_string(value) == "")
+        .when(kind == "ARRAY<VOID>", F.to_json(value) == "[]")  # also the kind of [null]
+        .otherwise(F.lit(False))
+    )
 
 
 def is_falsy(value: Column) -> Column:
-    return F.coalesce(F.to_json(value).isin(*EMPTY, *ZERO), F.lit(True))
+    kind = F.schema_of_variant(value)
+    number = as_string(value).try_cast("double")
+    return is_empty(value) | F.coalesce(
+        F.when(kind == "STRING", F.lit(False)).when(kind == "BOOLEAN", as_string(value) == "false").otherwise(number == 0),
+        F.lit(False),
+    )
+
+
+def _first(record: Column, keys, unwanted) -> Column:
+    # A filter over the few candidates names each value once; a chain of
+    # conditions would repeat its extraction in every test.
+    values = F.array(*[field(record, k) for k in keys])
+    return F.get(F.filter(values, lambda v: ~unwanted(v)), F.lit(0))
 
 
 def first_filled(record: Column, keys) -> Column:
     """First value in key order that is not empty; SQL NULL if none is."""
-    return F.coalesce(*[F.when(~is_empty(field(record, k)), field(record, k)) for k in keys])
+    return _first(record, keys, is_empty)
 
 
 def first_truthy(record: Column, keys) -> Column:
     """First value in key order that is not falsy; SQL NULL if none is."""
-    return F.coalesce(*[F.when(~is_falsy(field(record, k)), field(record, k)) for k in keys])
+    return _first(record, keys, is_falsy)
 
 
 def to_text(value: Column) -> Column:

@@ -6,18 +6,23 @@ that follow the order; counts per segment are summed up (a small table), and
 nothing depends on partition numbers, so a re-run task gives the same answer.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.ordering import HASH_BITS, id_segments
+from tallyloom.operators.joins import HOT_ROWS, hot_keys, null_safe_join
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; the right copies are dropped."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
+def tag_hot(df: DataFrame, group: list[str], segments: list[Column], hot_rows: int) -> DataFrame:
+    """Add ``__hot`` and ``__cell``, the unit of rows one task may sort.
+
+    A group of up to ``hot_rows`` rows is one cell; a larger one is cut into its segments.
+    """
+    seg = [f"__seg{i}" for i in range(len(segments))]
+    tagged = null_safe_join(df, hot_keys(df, group, hot_rows), group, "left").withColumn(
+        "__hot", F.col("__parts").isNotNull()
+    ).drop("__parts")
+    parts = [F.when(F.col("__hot"), s).alias(n) for n, s in zip(seg, segments)]
+    return tagged.withColumn("__cell", F.struct(*group, *parts))
 
 
 def dense_position(
@@ -26,28 +31,34 @@ def dense_position(
     segments: list[Column],
     group: tuple[str, ...] = (),
     name: str = "pos",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of every row in ``order`` (within ``group``).
 
     ``segments`` run from coarse to fine; each must never decrease along
     ``order``, and rows of one fine segment are sorted in one task. ``order``
     must identify a row, so that the result does not depend on partitioning.
+    Without a group everything is segmented; with one, only large groups are.
     """
     group = list(group)
     seg = [f"__seg{i}" for i in range(len(segments))]
-    tagged = df.withColumns(dict(zip(seg, segments)))
-    # One struct key per segment: equal structs match even where a field is null.
-    tagged = tagged.withColumn("__cell", F.struct(*group, *seg)).drop(*seg)
-
-    counts = tagged.groupBy("__cell").agg(F.count(F.lit(1)).alias("__rows"))
+    if group:
+        tagged = tag_hot(df, group, segments, hot_rows)
+        large = tagged.filter("__hot")
+    else:
+        # One struct key per segment: equal structs match even where a field is null.
+        tagged = df.withColumn("__cell", F.struct(*[s.alias(n) for n, s in zip(seg, segments)]))
+        large = tagged
+
+    counts = large.groupBy("__cell").agg(F.count(F.lit(1)).alias("__rows"))
     levels = counts.select(*[F.col("__cell")[c].alias(c) for c in group + seg], "__rows")
     offsets = _prefix(levels, group, seg).select(F.struct(*group, *seg).alias("__cell"), "__before")
 
     inside = Window.partitionBy("__cell").orderBy(*order)
     return (
-        tagged.join(offsets, "__cell")
-        .withColumn(name, F.col("__before") + F.row_number().over(inside) - F.lit(1))
-        .drop("__before", "__cell")
+        tagged.join(offsets, "__cell", "left" if group else "inner")
+        .withColumn(name, F.coalesce("__before", F.lit(0)) + F.row_number().over(inside) - F.lit(1))
+        .drop("__before", "__cell", "__hot")
     )
 
 

@@ -7,86 +7,124 @@ shuffled, counted per distinct value and ranked. A poor cut point makes an
 interval larger; it never makes the answer wrong.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.operators.position import null_safe_join
+from tallyloom.operators.joins import lookup_join, null_safe_join, stage
 
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 
+#: (approximate quantile, 0-based rank as a function of the group size)
+Rank = tuple[float, Callable[[Column], Column]]
+
+MEDIAN: dict[str, Rank] = {
+    "lo": (0.5, lambda n: F.floor((n - 1) / 2)),
+    "hi": (0.5, lambda n: F.floor(n / 2)),
+}
+
+
+def index_rank(fraction: float) -> Rank:
+    """0-based index ``min(n-1, int(n*fraction))``."""
+    return fraction, lambda n: F.least(n - 1, F.floor(n.cast("double") * F.lit(fraction)))
+
 
 def order_statistics(
     df: DataFrame,
     keys: list[str],
-    value: str,
-    ranks: dict[str, tuple[float, Column]],
+    measures: list[str],
+    ranks: dict[str, Rank],
+    totals: list[Column] | None = None,
 ) -> DataFrame:
-    """One row per ``keys`` with the exact element at each named rank.
+    """One row per group: ``totals`` and, as ``<measure>_<rank>``, the exact elements at the ranks.
 
-    ``ranks`` maps a name to (approximate quantile, 0-based rank as a column of
-    ``n``, the group size). Null values are left out.
+    Null values are left out. The per-group tables between the passes are
+    written to the scratch folder: they are small, and their known size lets
+    the row passes use them without a shuffle.
     """
-    rows = df.select(*keys, F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    rows = df.select(*keys, *measures)
     near = sorted({q for q, _ in ranks.values()})
     cuts = [min(1.0, max(0.0, q + d)) for q in near for d in (-MARGIN, MARGIN)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", cuts, ACCURACY).alias("cuts"),
+
+    # Pass 1: totals, group sizes and cut points.
+    sketch = stage(
+        df.groupBy(*keys).agg(
+            *(totals or []),
+            *[F.count(m).alias(f"__n_{m}") for m in measures],
+            *[F.percentile_approx(m, cuts, ACCURACY).alias(f"__cuts_{m}") for m in measures],
+        ),
+        "sketch",
     )
 
-    # Interval number of a value: how many cut points lie below it.
-    number = sum(
-        ((F.col("v") > F.col("cuts")[i]).cast("int") for i in range(1, len(cuts))),
-        (F.col("v") > F.col("cuts")[0]).cast("int"),
+    # Pass 2: exact interval sizes, and from them the interval of each rank.
+    cell = lambda m: sum(((F.col(m) > F.col(f"__cuts_{m}")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
+    cut_rows = lookup_join(rows, sketch.select(*keys, *[f"__cuts_{m}" for m in measures]), keys, measures[0])
+    sizes = cut_rows.groupBy(*keys).agg(
+        *[
+            F.array(*[F.count_if(cell(m) == i) for i in range(len(cuts) + 1)]).alias(f"__sizes_{m}")
+            for m in measures
+        ]
     )
-    placed = null_safe_join(rows, sketch, keys).select(*keys, "n", "v", number.alias("cell"))
-
-    sizes = placed.groupBy(*keys, "n", "cell").agg(F.count(F.lit(1)).alias("rows"))
-    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy("cell"))  # a handful of cells
-    wanted = (
-        sizes.withColumn("before", upto - F.col("rows"))
-        .withColumn(
-            "stat",
-            F.explode(
-                F.array(*[F.struct(F.lit(s).alias("name"), r.cast("bigint").alias("rank")) for s, (_, r) in ranks.items()])
-            ),
-        )
-        .filter(
-            (F.col("stat.rank") >= F.col("before")) & (F.col("stat.rank") < F.col("before") + F.col("rows"))
-        )
-        .groupBy(*keys, "cell")
-        .agg(F.first("before").alias("before"), F.collect_list("stat").alias("stats"))
+    located = stage(
+        null_safe_join(sketch, sizes, keys).withColumns({f"__find_{m}": _locate(m, ranks, len(cuts)) for m in measures}),
+        "ranks",
     )
 
-    distinct = (
-        null_safe_join(placed, wanted.select(*keys, "cell"), [*keys, "cell"], "left_semi")
-        .groupBy(*keys, "cell", "v")
-        .agg(F.count(F.lit(1)).alias("rows"))
+    # Pass 3: the values of those intervals, one row per distinct value.
+    found = lookup_join(
+        rows,
+        located.select(*keys, *[f"__{part}_{m}" for part in ("cuts", "find") for m in measures]),
+        keys,
+        measures[0],
     )
-    running = F.sum("rows").over(Window.partitionBy(*keys, "cell").orderBy("v"))
-    hits = (
-        null_safe_join(distinct.withColumn("upto", running), wanted, [*keys, "cell"])
-        .withColumn("stat", F.explode("stats"))
-        .filter(
-            (F.col("stat.rank") < F.col("before") + F.col("upto"))
-            & (F.col("stat.rank") >= F.col("before") + F.col("upto") - F.col("rows"))
-        )
+    in_cell = lambda m: F.filter(f"__find_{m}", lambda f: f["cell"] == cell(m))
+    hits = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("measure"),
+                cell(m).alias("cell"),
+                F.col(m).cast("double").alias("value"),
+                in_cell(m).alias("finds"),
+            )
+            for m in measures
+        ]
     )
-    return hits.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("stat.name") == s, F.col("v"))).alias(s) for s in ranks]
+    band = (
+        found.select(*keys, F.explode(F.filter(hits, lambda h: F.size(h["finds"]) > 0)).alias("h"))
+        .groupBy(*keys, "h.measure", "h.cell", "h.value")
+        .agg(F.count(F.lit(1)).alias("rows"), F.first("h.finds").alias("finds"))
     )
+    upto = F.sum("rows").over(Window.partitionBy(*keys, "measure", "cell").orderBy("value"))
+    picked = (
+        band.withColumn("upto", upto)
+        .withColumn("f", F.explode("finds"))
+        .filter((F.col("f.rank") < F.col("upto")) & (F.col("f.rank") >= F.col("upto") - F.col("rows")))
+        .groupBy(*keys)
+        .agg(
+            *[
+                F.max(F.when((F.col("measure") == m) & (F.col("f.name") == r), F.col("value"))).alias(f"{m}_{r}")
+                for m in measures
+                for r in ranks
+            ]
+        )
+    )
+    kept = [c for c in located.columns if not c.startswith("__")]
+    return null_safe_join(located.select(*kept), picked, keys, "left")
 
 
-def median_ranks(prefix: str = "") -> dict[str, tuple[float, Column]]:
-    """The two middle elements; equal when the group size is odd."""
-    n = F.col("n")
-    return {
-        f"{prefix}lo": (0.5, F.floor((n - 1) / 2)),
-        f"{prefix}hi": (0.5, F.floor(n / 2)),
-    }
-
-
-def index_rank(fraction: float) -> tuple[float, Column]:
-    """0-based index ``min(n-1, int(n*fraction))``."""
-    n = F.col("n")
-    return fraction, F.least(n - 1, F.floor(n.cast("double") * F.lit(fraction)))
+def _locate(measure: str, ranks: dict[str, Rank], n_cuts: int) -> Column:
+    """(name, cell, rank inside the cell) of every wanted rank; empty for an empty group."""
+    n, sizes = F.col(f"__n_{measure}"), F.col(f"__sizes_{measure}")
+    before = [F.lit(0).cast("bigint")]
+    for i in range(n_cuts):
+        before.append(before[-1] + sizes[i])
+    finds = []
+    for name, (_, rank) in ranks.items():
+        at = rank(n).cast("bigint")
+        cell = sum(((at >= b).cast("int") for b in before[1:]), F.lit(0))
+        finds.append(
+            F.struct(F.lit(name).alias("name"), cell.alias("cell"), (at - F.get(F.array(*before), cell)).alias("rank"))
+        )
+    none = F.array().cast("array<struct<name:string,cell:int,rank:bigint>>")
+    return F.when(n > 0, F.array(*finds)).otherwise(none)

@@ -80,8 +80,9 @@ def normalize(df: DataFrame, record: str = "record", source: str = "source_file"
     messages = first_filled(rec, MESSAGE_KEYS)
 
     def with_fallback(keys, roles):
-        value = first_filled(rec, keys)
-        return F.when(is_falsy(value), chat_parts(messages, roles)).otherwise(to_text(value))
+        # A one-element list names the chosen value, so that it is looked up once.
+        choose = lambda v: F.when(is_falsy(v), chat_parts(messages, roles)).otherwise(to_text(v))
+        return F.get(F.transform(F.array(first_filled(rec, keys)), choose), F.lit(0))
 
     return df.select(
         *keep,

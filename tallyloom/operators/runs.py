@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions.fixed_values import ABORTED_REQUEST, FAILURE_LIMIT
 from tallyloom.functions.ordering import time_segments
-from tallyloom.operators.position import null_safe_join, position_by_id
+from tallyloom.operators.joins import HOT_ROWS, null_safe_join, spread_join
+from tallyloom.operators.position import position_by_id, tag_hot
 from tallyloom.operators.select import row_count
 
 
@@ -29,40 +30,43 @@ def request_plan(prompts: DataFrame, levels: list[int], prompt_id: str, num_requ
 # --- failure cut-off ---------------------------------------------------------
 
 
-def failure_runs(df: DataFrame, group: list[str], micros: str, row_id: str, segment_seconds: int = 60) -> DataFrame:
+def failure_runs(
+    df: DataFrame, group: list[str], micros: str, row_id: str, segment_seconds: int = 60, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``streak``, the number of consecutive failures ending at each row (0 on success).
 
-    Rows are ranked inside one time segment of one group only. What a segment
-    hands on (its trailing failures) is chained over the segments, so a group
-    holding much of the log is spread over many tasks.
+    A large group is ranked in time segments only. What a segment hands on (its
+    trailing failures) is chained over the segments, so a group holding much of
+    the log is spread over many tasks.
     """
-    parts = [*group, "__seg"]
-    inside = Window.partitionBy(*parts).orderBy(micros, row_id)
+    inside = Window.partitionBy("__cell").orderBy(micros, row_id)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        df.withColumn("__seg", time_segments(F.col(micros), segment_seconds)[-1])
+        tag_hot(df, group, time_segments(F.col(micros), segment_seconds)[-1:], hot_rows)
         .withColumn("__rn", F.row_number().over(inside))
         .withColumn("__last_ok", F.coalesce(F.max(F.when(F.col("success"), F.col("__rn"))).over(upto), F.lit(0)))
         .withColumn("__run", F.col("__rn") - F.col("__last_ok"))
     )
-    joined = null_safe_join(local, _carried_failures(local, group), parts)
-    return joined.withColumn(
-        "streak",
-        F.col("__run") + F.when(F.col("__last_ok") == 0, F.col("__carry")).otherwise(F.lit(0)),
-    ).drop("__seg", "__rn", "__last_ok", "__run", "__carry")
+    joined = local.join(_carried_failures(local.filter("__hot"), group), "__cell", "left")
+    carry = F.when(F.col("__last_ok") == 0, F.coalesce("__carry", F.lit(0))).otherwise(F.lit(0))
+    return joined.withColumn("streak", F.col("__run") + carry).drop(
+        "__cell", "__hot", "__rn", "__last_ok", "__run", "__carry"
+    )
 
 
 def _carried_failures(local: DataFrame, group: list[str]) -> DataFrame:
     """Failures running into each segment from the ones before it."""
-    ends = local.groupBy(*group, "__seg").agg(
-        F.max_by("__run", "__rn").alias("trailing"), F.max("__last_ok").alias("last_ok")
+    ends = (
+        local.groupBy("__cell")
+        .agg(F.max_by("__run", "__rn").alias("trailing"), F.max("__last_ok").alias("last_ok"))
+        .select("__cell", *[F.col("__cell")[c].alias(c) for c in group], F.col("__cell.__seg0").alias("seg"), "trailing", "last_ok")
     )
-    along = Window.partitionBy(*group).orderBy("__seg")  # one row per segment
+    along = Window.partitionBy(*group).orderBy("seg")  # one row per segment
     block = F.sum((F.col("last_ok") > 0).cast("bigint")).over(along)
     chained = ends.withColumn("block", block).withColumn(
-        "out", F.sum("trailing").over(Window.partitionBy(*group, "block").orderBy("__seg"))
+        "out", F.sum("trailing").over(Window.partitionBy(*group, "block").orderBy("seg"))
     )
-    return chained.select(*group, "__seg", F.lag("out", 1, 0).over(along).alias("__carry"))
+    return chained.select("__cell", F.lag("out", 1, 0).over(along).alias("__carry"))
 
 
 def cut_off(
@@ -73,6 +77,7 @@ def cut_off(
     row_id: str,
     limit: int = FAILURE_LIMIT,
     segment_seconds: int = 60,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per (run, level): completed, aborted or not_run, with the aborting request.
 
@@ -82,10 +87,10 @@ def cut_off(
     """
     keys = [*run, level]
     at = F.struct(F.col(micros).alias("micros"), F.col(row_id).alias("id"))
-    streaks = failure_runs(df, keys, micros, row_id, segment_seconds)
+    streaks = failure_runs(df, keys, micros, row_id, segment_seconds, hot_rows)
     aborts = streaks.filter(F.col("streak") >= limit).groupBy(*keys).agg(F.min(at).alias("abort"))
     first = aborts.groupBy(*run).agg(F.min(level).alias("__stop"))
-    marked = null_safe_join(df.select(*keys, micros, row_id), aborts, keys, "left")
+    marked = spread_join(df.select(*keys, micros, row_id), aborts, keys, row_id, "left", hot_rows)
     counted = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("abort").isNull() | (at <= F.col("abort"))).alias("done"),
@@ -115,7 +120,7 @@ def apply_cut_off(df: DataFrame, run: list[str], level: str, micros: str, row_id
         [*keys, "abort_id"],
         "left",
     )
-    rows = null_safe_join(df, stops, keys)
+    rows = spread_join(df, stops, keys, row_id)
     behind = F.coalesce(
         F.struct(micros, row_id) > F.struct(F.col("__abort_at").alias(micros), F.col("abort_id").alias(row_id)),
         F.lit(False),

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions.fixed_values import ALL_FAILED, P95
 from tallyloom.functions.rounding import exact_mean, round_even
-from tallyloom.operators.position import null_safe_join
-from tallyloom.operators.quantiles import index_rank, median_ranks, order_statistics
+from tallyloom.operators.joins import null_safe_join
+from tallyloom.operators.quantiles import MEDIAN, index_rank, order_statistics
 from tallyloom.operators.requests import rate
 
 METRICS = (
@@ -23,7 +23,7 @@ METRICS = (
 
 def p95_index(df: DataFrame, keys: list[str], value: str, name: str = "p95") -> DataFrame:
     """Element at index ``min(n-1, int(n*0.95))`` of each group's sorted values."""
-    return order_statistics(df, keys, value, {name: index_rank(P95)})
+    return order_statistics(df, keys, [value], {"p95": index_rank(P95)}).withColumnRenamed(f"{value}_p95", name)
 
 
 def elapsed(wall: Column, longest: Column) -> tuple[Column, Column]:
@@ -67,7 +67,7 @@ def summarize(df: DataFrame, keys: list[str], wall: DataFrame | None = None) ->
     """
     ok = F.col("success")
     only = lambda c: F.when(ok, F.col(c))
-    totals = df.groupBy(*keys).agg(
+    totals = [
         F.count(F.lit(1)).alias("requests_total"),
         F.count_if(ok).alias("requests_ok"),
         F.count_if(~ok).alias("requests_failed"),
@@ -76,41 +76,23 @@ def summarize(df: DataFrame, keys: list[str], wall: DataFrame | None = None) ->
         exact_mean(only("tokens_per_sec")).alias("tps_mean"),
         F.sum(only("output_tokens")).alias("tokens"),
         F.max(only("total_time")).alias("longest"),
-    )
-    good = df.filter(ok)
-    # Both measures are ranked in one pass, told apart by name.
-    measures = good.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(m).alias("name"), F.col(m).alias("value")) for m in ("ttft", "total_time")]
-            )
-        ).alias("m"),
-    ).select(*keys, "m.name", "m.value")
-    ranks = {**median_ranks(), "p95": index_rank(P95)}
-    stats = order_statistics(measures, [*keys, "name"], "value", ranks)
-    pick = lambda measure, stat: F.max(F.when(F.col("name") == measure, F.col(stat)))
-    wide = stats.groupBy(*keys).agg(
-        *[
-            pick(measure, stat).alias(f"{measure}_{stat}")
-            for measure in ("ttft", "total_time")
-            for stat in ("lo", "hi", "p95")
-        ]
-    )
+    ]
+    good = df.withColumns({"wait": only("ttft"), "latency": only("total_time")})
+    stats = order_statistics(good, keys, ["wait", "latency"], {**MEDIAN, "p95": index_rank(P95)}, totals)
     middle = lambda m: (F.col(f"{m}_lo") + F.col(f"{m}_hi")) / F.lit(2.0)
     seconds, basis = elapsed(F.col("wall_time"), F.col("longest"))
     tokens = F.col("tokens")
     failed = F.col("requests_ok") == 0
-    return null_safe_join(with_wall(totals, keys, wall), wide, keys, "left").select(
+    return with_wall(stats, keys, wall).select(
         *keys,
         "requests_total",
         "requests_ok",
         "requests_failed",
         round_even(F.col("ttft_mean") * 1000, 1).alias("ttft_avg_ms"),
-        round_even(middle("ttft") * 1000, 1).alias("ttft_median_ms"),
-        round_even(F.col("ttft_p95") * 1000, 1).alias("ttft_p95_ms"),
+        round_even(middle("wait") * 1000, 1).alias("ttft_median_ms"),
+        round_even(F.col("wait_p95") * 1000, 1).alias("ttft_p95_ms"),
         round_even(F.col("latency_mean"), 3).alias("latency_avg_s"),
-        round_even(middle("total_time"), 3).alias("latency_median_s"),
+        round_even(middle("latency"), 3).alias("latency_median_s"),
         round_even(tokens.cast("double") / F.when(~failed, F.col("requests_ok")).cast("double"), 1).alias(
             "tokens_per_resp_avg"
         ),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.functions.durations import interval_value
 from tallyloom.functions.fixed_values import EFFECTIVE_BATCH
 from tallyloom.functions.rounding import round_even
+from tallyloom.operators.joins import spread_join
 
 
 def accumulation_steps(effective: int = EFFECTIVE_BATCH, per_device: int = 1) -> int:
@@ -58,9 +59,9 @@ def progress(df: DataFrame, run: str = "run_id", micros: str = "micros") -> Data
     step, end = F.col("step").cast("double"), F.col("max_steps").cast("double")
     elapsed = (F.col(micros) - F.col("__start")) / F.lit(1_000_000.0)
     eta = elapsed * (end - step) / step
+    logged = df.filter((F.col("step") > 0) & (F.col("max_steps") > 0))
     return (
-        df.filter((F.col("step") > 0) & (F.col("max_steps") > 0))
-        .join(starts, run)
+        spread_join(logged, starts, [run], micros)
         .withColumns(
             {
                 "pct": F.least(F.lit(100.0), F.lit(100.0) * step / end),

@@ -62,12 +62,13 @@ def tokenize(
     tokenizer = tokenizer or word_tokenizer()
     prompt = render_chat(build_messages(domain, include_answer=False), template, generation_prompt=True)
     full = render_chat(build_messages(domain, include_answer=True), template)
-    return df.withColumns(
-        {
-            "full_ids": tokenizer(full),
-            "prompt_len": F.least(F.size(tokenizer(prompt)), F.lit(max_length)),
-        }
+    features = F.struct(
+        tokenizer(full).alias("full_ids"),
+        F.least(F.size(tokenizer(prompt)), F.lit(max_length)).alias("prompt_len"),
     )
+    # Generating one row from one row evaluates the tokenizer once; as plain
+    # columns it would be repeated in every filter pushed below it.
+    return df.select("*", F.inline(F.array(features)))
 
 
 def mask_labels(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:

@@ -273,7 +273,8 @@ def union_sources(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("key", select.content_key(views.keyed_record()))
+    docs = table(spark, sf_dir, "documents").withColumn("record", views.keyed_record())
+    return docs.withColumn("key", select.content_key(F.col("record")))
 
 
 @query

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyloom.functions.fixed_values import PART_SEPARATOR
 from tallyloom.functions.ordering import epoch_micros, time_segments
 from tallyloom.functions.text import strip
+from tallyloom.operators.joins import spread_join
 from tallyloom.operators.position import dense_position
 from tallyloom.operators.requests import as_results
 from tallyloom.operators.turns import ordered_join, ordered_messages
@@ -119,7 +120,7 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev, ["micros", "event_id"], time_segments(F.col("micros"), 3600), group=("run_id",), name="step"
     ).withColumn("step", F.col("step") + 1)
     totals = ev.groupBy("run_id").agg(F.count(F.lit(1)).alias("max_steps"))
-    return placed.join(totals, "run_id")
+    return spread_join(placed, totals, ["run_id"], "event_id")
 
 
 def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions.fixed_values import STREAM_END, STREAM_PREFIX
-from tallyloom.functions.text import as_string, field, is_empty, strip
+from tallyloom.functions.text import field, is_empty, strip
+from tallyloom.operators.joins import spread_join
 
 
 def is_data_line(line: Column) -> Column:
@@ -18,12 +19,8 @@ def is_end(line: Column) -> Column:
     return is_data_line(line) & (strip(payload(line)) == STREAM_END)
 
 
-def chunk_fields(line: Column) -> dict[str, Column]:
-    """``has_token`` and ``usage_tokens`` of a data line; null for undecodable JSON."""
-    return token_fields(F.try_parse_json(payload(line)))
-
-
 def token_fields(chunk: Column) -> dict[str, Column]:
+    """``has_token`` and ``usage_tokens`` of a decoded chunk."""
     delta = F.try_variant_get(chunk, "$.choices[0].delta", "variant")
     text = lambda key: ~is_empty(field(delta, key))
     usage = F.try_variant_get(chunk, "$.usage.completion_tokens", "bigint")
@@ -36,8 +33,8 @@ def token_fields(chunk: Column) -> dict[str, Column]:
 def parse_stream(lines: DataFrame) -> DataFrame:
     """Decoded chunks before the first end marker of each request.
 
-    The end positions are one row per request; the lines themselves are joined
-    to them, which lets a request with very many lines be split over tasks.
+    The end positions are one row per request; a request with very many lines
+    is split over tasks when its lines are joined to them.
     """
     data = lines.filter(is_data_line(F.col("line")))
     ends = (
@@ -51,7 +48,7 @@ def parse_stream(lines: DataFrame) -> DataFrame:
         .drop("chunk", "line")
     )
     return (
-        decoded.join(ends, "request_id", "left")
+        spread_join(decoded, ends, ["request_id"], "seq", "left")
         .filter(F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
         .drop("end_seq")
     )
