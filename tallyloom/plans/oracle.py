@@ -422,3 +422,20 @@ ORACLES.update(
               {'s': CASE WHEN k % 10 = 9 THEN 0 ELSE k * 10 END, 'q': step}) AS path FROM progress GROUP BY run_id""",
     }
 )
+
+ORACLES["stream_requests"] = ORACLES["request_metrics"]
+ORACLES["stream_dedupe"] = with_("keyed") + "SELECT DISTINCT key, lang FROM keyed"
+ORACLES["stream_aborts"] = (
+    with_("streaks")
+    + f"""SELECT model, level, s.a.m AS micros, s.a.i AS request_id FROM
+        (SELECT model, level, min({{'m': micros, 'i': request_id}}) AS a FROM streaks WHERE streak >= {fv.FAILURE_LIMIT} GROUP BY ALL) s"""
+)
+DAY = 86_400_000_000
+ORACLES["stream_summary"] = (
+    with_("requests")
+    + f"""SELECT micros // {DAY} * {DAY} AS window_start, level, count(*) AS requests_total, count(*) FILTER (WHERE success) AS requests_ok,
+        {round_even("sum((CASE WHEN success THEN ttft END)::DECIMAL(18,9))::DOUBLE", 3)} AS ttft_sum,
+        {round_even("sum((CASE WHEN success THEN total_time END)::DECIMAL(18,9))::DOUBLE", 3)} AS latency_sum,
+        {round_even("max(total_time) FILTER (WHERE success)", 3)} AS latency_max, (sum(output_tokens) FILTER (WHERE success))::BIGINT AS tokens
+      FROM requests WHERE micros // {DAY} * {DAY} + {DAY} <= (SELECT max(micros) FROM requests) - 3600000000 GROUP BY ALL"""
+)

@@ -623,3 +623,79 @@ def latest_checkpoint(spark, sf_dir):
         "run_id", F.col("step").alias("seq"), F.concat(F.lit("out/"), F.col("step").cast("string"), F.lit("/checkpoint-"), name).alias("path")
     )
     return telemetry.latest_checkpoint(paths)
+
+
+# --- streaming forms ---------------------------------------------------------
+
+
+def _as_stream(df, purpose, files_per_trigger=8):
+    """The rows as a file stream, from files written to the scratch folder."""
+    from tallyloom.sources.files import scratch_dir
+
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def _run_to_files(stream, purpose):
+    """Run an append stream over what is there and read back what it wrote."""
+    from tallyloom.sources.files import scratch_dir
+
+    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, purpose)
+    done = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{path}/rows")
+    )
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@query
+def stream_requests(spark, sf_dir):
+    """Request metrics computed as the lines arrive; all requests are closed by their end marker."""
+    from tallyloom.sources.files import scratch_dir
+    from tallyloom.streaming.request_stream import write_request_metrics
+
+    path = scratch_dir(spark, "stream-requests")
+    stream = _as_stream(views.stream_lines(spark, sf_dir), "lines", files_per_trigger=100_000)  # one trigger: files carry no order
+    write_request_metrics(stream, f"{path}/rows", f"{path}/state", f"{path}/checkpoint").awaitTermination()
+    metrics = spark.read.parquet(f"{path}/rows").drop("batch")
+    return metrics.withColumns({c: round_even(F.col(c), 6) for c in ("ttft", "total_time", "tokens_per_sec")})
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    """Keys of documents kept when files arrive one after the other."""
+    from tallyloom.sources.files import scratch_dir
+    from tallyloom.streaming.dedupe_stream import write_deduped
+
+    path = scratch_dir(spark, "stream-dedupe")
+    docs = _keyed(spark, sf_dir).select("doc_id", "key", "lang").repartition(4)
+    stream = _as_stream(docs, "chunks", files_per_trigger=1)
+    write_deduped(stream, F.col("key"), "doc_id", f"{path}/rows", f"{path}/keys", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("key", "lang")
+
+
+@query
+def stream_aborts(spark, sf_dir):
+    """First third failure in a row per model and level."""
+    from tallyloom.sources.files import scratch_dir
+    from tallyloom.streaming.streak_stream import write_aborts
+
+    path = scratch_dir(spark, "stream-aborts")
+    reqs = views.requests(spark, sf_dir).select(*GROUP, "micros", "request_id", "success")
+    stream = _as_stream(reqs, "results", files_per_trigger=100_000)  # one trigger: files carry no order
+    write_aborts(stream, GROUP, "micros", "request_id", f"{path}/rows", f"{path}/state", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(*GROUP, "micros", "request_id")
+
+
+@query
+def stream_summary(spark, sf_dir):
+    """Daily sums per level; the day still open at the watermark is not emitted."""
+    from tallyloom.streaming.rolling import rolling_summary
+
+    reqs = views.requests(spark, sf_dir).withColumn("ts", F.timestamp_micros("micros"))
+    out = _run_to_files(rolling_summary(_as_stream(reqs, "log"), ["level"]), "stream-summary")
+    return out.withColumns({c: round_even(F.col(c), 3) for c in ("ttft_sum", "latency_sum", "latency_max")})

@@ -1,0 +1,28 @@
+"""State that lives in a table next to the stream, one folder per micro-batch.
+
+Each micro-batch overwrites its own ``batch=<id>`` folder and reads only
+earlier ones, so a repeated micro-batch gives the same result.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyloom.sources.files import exists
+
+
+def save(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows of all earlier micro-batches; other folders are pruned."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path).filter(F.col("batch") < batch_id).drop("batch")
+
+
+def previous(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows of the micro-batch before."""
+    name = f"{path}/batch={batch_id - 1}"
+    if not exists(spark, name):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(name)
