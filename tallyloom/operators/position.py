@@ -54,11 +54,13 @@ def dense_position(
     levels = counts.select(*[F.col("__cell")[c].alias(c) for c in group + seg], "__rows")
     offsets = _prefix(levels, group, seg).select(F.struct(*group, *seg).alias("__cell"), "__before")
 
+    # The window leaves rows partitioned and sorted by cell, just as the join needs them.
     inside = Window.partitionBy("__cell").orderBy(*order)
+    ranked = tagged.withColumn("__rn", F.row_number().over(inside))
     return (
-        tagged.join(offsets, "__cell", "left" if group else "inner")
-        .withColumn(name, F.coalesce("__before", F.lit(0)) + F.row_number().over(inside) - F.lit(1))
-        .drop("__before", "__cell", "__hot")
+        ranked.join(offsets, "__cell", "left" if group else "inner")
+        .withColumn(name, F.coalesce("__before", F.lit(0)) + F.col("__rn") - F.lit(1))
+        .drop("__before", "__rn", "__cell", "__hot")
     )
 
 
