@@ -4,11 +4,32 @@ from pyspark.sql import Column, functions as F
 
 #: Measures are summed as decimals, so a sum does not depend on partitioning.
 EXACT = "decimal(18,9)"
+#: Cuts a double into two halves whose products with a power of ten are exact.
+SPLIT = 134217729.0
 
 
 def round_even(value: Column, digits: int) -> Column:
+    """Decimal rounding of the exact binary value, exact ties to even.
+
+    2.675 is stored slightly below its text, so it gives 2.67 although
+    ``2.675 * 100`` comes out as 267.5. The rounding error of that product is
+    recovered by splitting the number in two halves, and decides such cases.
+    """
     scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+
+    def exact(x: Column) -> Column:
+        product = x * scale
+        high = x * SPLIT - (x * SPLIT - x)
+        error = (high * scale - product) + (x - high) * scale
+        tie = product - F.floor(product) == 0.5
+        nearest = (
+            F.when(tie & (error > 0), F.ceil(product).cast("double"))
+            .when(tie & (error < 0), F.floor(product).cast("double"))
+            .otherwise(F.rint(product))
+        )
+        return nearest / scale
+
+    return F.get(F.transform(F.array(value), exact), F.lit(0))
 
 
 def exact_sum(value: Column) -> Column:

@@ -16,7 +16,8 @@ def strip(expr: str) -> str:
 
 
 def round_even(expr: str, digits: int) -> str:
-    return f"(round_even(({expr}) * {10**digits}.0::DOUBLE, 0) / {10**digits}.0::DOUBLE)"
+    """printf rounds the exact binary value."""
+    return f"CAST(printf('%.{digits}f', ({expr})::DOUBLE) AS DOUBLE)"
 
 
 def seeded(row_id: str, seed: int = fv.SEED) -> str:
