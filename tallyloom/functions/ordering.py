@@ -21,11 +21,12 @@ def hash_segments(key: Column) -> list[Column]:
     return [F.shiftright(key, HASH_BITS - 16), F.shiftright(key, HASH_BITS - 24)]
 
 
-def id_segments(row_id: Column, fine_bits: int = 13, coarse_bits: int = 35) -> list[Column]:
+def id_segments(row_id: Column, fine_bits: int = 13, coarse_bits: int = 38) -> list[Column]:
     """Coarse-to-fine segments of a unique bigint.
 
-    Uniqueness bounds a fine segment by 2**fine_bits rows and a coarse one by
-    2**(coarse_bits - fine_bits) fine segments, however the ids are spread.
+    Uniqueness bounds a fine segment by 2**fine_bits rows, however the ids are
+    spread. Both levels above it stay below 2**26 counts even for ids scattered
+    over the whole range, and are tiny for running numbers.
     """
     row_id = row_id.cast("bigint")
     return [F.shiftright(row_id, coarse_bits), F.shiftright(row_id, fine_bits)]

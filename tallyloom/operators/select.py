@@ -16,6 +16,7 @@ from tallyloom.functions.fixed_values import (
 )
 from tallyloom.functions.ordering import hash_segments, seeded_key
 from tallyloom.functions.text import first_truthy, stable_text
+from tallyloom.operators.joins import BROADCAST_ROWS
 from tallyloom.operators.position import (
     dense_position,
     position_by_id,
@@ -23,8 +24,8 @@ from tallyloom.operators.position import (
     within_smallest_k,
 )
 
-#: Up to this many rows a head is a top-k; beyond, a filter on the dense position.
-TOP_K_ROWS = 100_000
+#: Up to this many rows a head is a top-k; beyond, a filter at the n-th id.
+TOP_K_ROWS = 10_000
 
 
 def row_count(df: DataFrame) -> Column:
@@ -70,13 +71,19 @@ def dedupe(df: DataFrame, key: Column, pos: str) -> DataFrame:
 # --- sampling and ordering ---------------------------------------------------
 
 
+def id_at(df: DataFrame, row_id: str, pos: Column) -> Column:
+    """Id at a 0-based position in id order as a scalar; null past the end. Reads ids only."""
+    placed = position_by_id(df.select(row_id), row_id, "__at")
+    return placed.filter(F.col("__at") == pos).select(row_id).scalar()
+
+
 def head(df: DataFrame, n: int, pos: str) -> DataFrame:
     """First ``n`` rows by ``pos``; all rows when ``n`` is 0 or less."""
     if n <= 0:
         return df
     if n <= TOP_K_ROWS:
         return df.orderBy(pos).limit(n)
-    return position_by_id(df, pos, "__at").filter(F.col("__at") < n).drop("__at")
+    return df.filter(F.coalesce(F.col(pos) <= id_at(df, pos, F.lit(n - 1)), F.lit(True)))
 
 
 def shuffle(df: DataFrame, row_id: str, seed: int = SEED, name: str = "pos") -> DataFrame:
@@ -101,11 +108,12 @@ def sample_random(df: DataFrame, n: int = SAMPLE_LIMIT, row_id: str = "id", seed
 def sample_stride(df: DataFrame, n: int, row_id: str, name: str = "pos") -> DataFrame:
     """Rows at positions ``int(i * (size / n))`` for i < n; all rows if n <= 0 or n >= size.
 
-    A position is tested by trying the few i that can produce it, so nothing is joined.
+    Positions are worked out on ids alone. One is tested by trying the few i
+    that can produce it. The chosen ids, at most ``n``, then pick the rows.
     """
-    placed = position_by_id(df, row_id, name)
+    placed = position_by_id(df.select(row_id), row_id, name)
     if n <= 0:
-        return placed
+        return df.join(placed, row_id)
     size = row_count(df)
     step = size.cast("double") / F.lit(float(n))
     guess = F.floor(F.col(name) / step)
@@ -113,7 +121,8 @@ def sample_stride(df: DataFrame, n: int, row_id: str, name: str = "pos") -> Data
         (guess + d >= 0) & (guess + d < n) & (F.floor((guess + d).cast("double") * step) == F.col(name))
         for d in (-1, 0, 1, 2)
     ]
-    return placed.filter((F.lit(n) >= size) | reduce(lambda a, b: a | b, hits))
+    chosen = placed.filter((F.lit(n) >= size) | reduce(lambda a, b: a | b, hits))
+    return df.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, row_id)
 
 
 # --- splitting and chunking --------------------------------------------------
@@ -145,10 +154,8 @@ def split(
         held_out = _chosen(df, row_id, seed, k, n)
         tagged = df.withColumn("split", F.when(held_out, "validation").otherwise("train"))
     else:
-        placed = position_by_id(df, row_id, "__at")
-        tagged = placed.withColumn(
-            "split", F.when(F.col("__at") >= n - k, "validation").otherwise("train")
-        ).drop("__at")
+        tail = F.col(row_id) >= id_at(df, row_id, n - k)
+        tagged = df.withColumn("split", F.when(tail, "validation").otherwise("train"))
     for name, cap in (("train", max_train), ("validation", max_validation)):
         if cap > 0:
             part = tagged.filter(F.col("split") == name)

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 from test_requests import S, chunk, log, streaks, usage
 
-from tallyloom.operators import requests, runs, summary
+from tallyloom.operators import requests, runs
 from tallyloom.plans import views
 from tallyloom.streaming.dedupe_stream import dedupe_within, write_deduped
 from tallyloom.streaming.request_stream import write_request_metrics
