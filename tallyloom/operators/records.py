@@ -14,6 +14,7 @@ from tallyloom.functions.fixed_values import (
     ROLE_KEYS,
     USER_ROLES,
 )
+from tallyloom.functions.pretty import exact_alias
 from tallyloom.functions.templates import message, system_prompt, user_prompt
 from tallyloom.functions.text import (
     as_string,
@@ -70,16 +71,27 @@ def resolve_alias(record: Column, keys: tuple[str, ...]) -> Column:
     return to_text(first_filled(record, keys))
 
 
-def normalize(df: DataFrame, record: str = "record", source: str = "source_file", keep: tuple[str, ...] = ()) -> DataFrame:
+def normalize(
+    df: DataFrame,
+    record: str = "record",
+    source: str = "source_file",
+    keep: tuple[str, ...] = (),
+    raw: str | None = None,
+) -> DataFrame:
     """(instruction, input, output, source_file), four texts, never null.
 
     Instruction and output fall back to the chat list when their field is
-    missing or falsy; input has no fallback.
+    missing or falsy; input has no fallback. Values that are no strings become
+    JSON text: compact with sorted keys, or, given the column ``raw`` with the
+    record's own JSON text, indented in the order written.
     """
     rec = F.col(record)
     messages = first_filled(rec, MESSAGE_KEYS)
+    own_text = (lambda keys: exact_alias(rec, F.col(raw), keys)) if raw else (lambda keys: resolve_alias(rec, keys))
 
     def with_fallback(keys, roles):
+        if raw:
+            return F.when(is_falsy(first_filled(rec, keys)), chat_parts(messages, roles)).otherwise(own_text(keys))
         # A one-element list names the chosen value, so that it is looked up once.
         choose = lambda v: F.when(is_falsy(v), chat_parts(messages, roles)).otherwise(to_text(v))
         return F.get(F.transform(F.array(first_filled(rec, keys)), choose), F.lit(0))
@@ -87,7 +99,7 @@ def normalize(df: DataFrame, record: str = "record", source: str = "source_file"
     return df.select(
         *keep,
         with_fallback(INSTRUCTION_KEYS, USER_ROLES).alias("instruction"),
-        resolve_alias(rec, INPUT_KEYS).alias("input"),
+        own_text(INPUT_KEYS).alias("input"),
         with_fallback(OUTPUT_KEYS, ASSISTANT_ROLES).alias("output"),
         F.col(source).alias("source_file"),
     )

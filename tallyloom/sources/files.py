@@ -75,6 +75,11 @@ def matches_something(spark: SparkSession, name: str) -> bool:
     return exists(spark, name)
 
 
+def canonical_uri(spark: SparkSession, name: str) -> str:
+    """Fully qualified, encoded name, as a scan reports it (``file:/`` with one slash)."""
+    return re.sub("^file:/+", "file:/", _fs(spark, name).makeQualified(_path(spark, name)).toUri().toString())
+
+
 def file_size(spark: SparkSession, name: str) -> int:
     return _fs(spark, name).getFileStatus(_path(spark, name)).getLen()
 

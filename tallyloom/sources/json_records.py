@@ -2,29 +2,38 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions.fixed_values import INPUT_KEYS, INSTRUCTION_KEYS, MESSAGE_KEYS, OUTPUT_KEYS
+from tallyloom.functions.text import strip
 from tallyloom.operators.position import dense_position
-from tallyloom.sources.files import file_size
+from tallyloom.sources.files import canonical_uri, file_size
 
 #: A larger array does not fit into one VARIANT and is read field by field.
 ARRAY_BYTES = 100 * 1024 * 1024
+COLUMNS = ("path", "source_file", "pos", "record")
 FIELDS = (*INSTRUCTION_KEYS, *INPUT_KEYS, *OUTPUT_KEYS, *MESSAGE_KEYS)
 
 
-def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True) -> DataFrame:
+def file_name() -> Column:
+    """Base name of the scanned file; Spark reports it URL-encoded (but leaves plus signs)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True, keep_raw: bool = False) -> DataFrame:
     """JSON lines, split over tasks by byte ranges; bad JSON fails.
 
     ``pos`` is the row's place in its file. It needs one shuffle; leave it out
-    where the records carry an id of their own.
+    where the records carry an id of their own. ``keep_raw`` adds the JSON text
+    as written.
     """
-    raw = (
-        spark.read.option("singleVariantColumn", "record")
-        .option("mode", "FAILFAST")
-        .json(paths)
-        .select(F.col("_metadata.file_name").alias("source_file"), "record", "_metadata.file_block_start")
-    )
+    where = (F.col("_metadata.file_path").alias("path"), file_name().alias("source_file"), "_metadata.file_block_start")
+    if keep_raw:
+        text = spark.read.text(paths).select(*where, F.col("value").alias("raw")).filter(strip(F.col("raw")) != "")
+        raw = text.withColumn("record", F.parse_json("raw"))
+    else:
+        reader = spark.read.option("singleVariantColumn", "record").option("mode", "FAILFAST")
+        raw = reader.json(paths).select(*where, "record")
     if not with_pos:
         return raw.drop("file_block_start")
     # Within one byte range rows come in file order, which the increasing id records.
@@ -32,48 +41,72 @@ def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True) ->
         raw.withColumn("__n", F.monotonically_increasing_id()),
         ["file_block_start", "__n"],
         [F.col("file_block_start")],
-        group=("source_file",),
+        group=("path",),
     )
-    return placed.select("source_file", "pos", "record")
+    return placed.select(*COLUMNS, *(["raw"] if keep_raw else []))
 
 
 def scan_arrays(
-    spark: SparkSession, paths: list[str], limit_bytes: int = ARRAY_BYTES, fields: tuple[str, ...] = FIELDS
+    spark: SparkSession,
+    paths: list[str],
+    limit_bytes: int = ARRAY_BYTES,
+    fields: tuple[str, ...] = FIELDS,
+    keep_raw: bool = False,
 ) -> DataFrame:
     """Files that hold one JSON array each; elements may be anything.
 
     A file that is no array fails. One file is one task, so large corpora
     should be kept as JSON lines. Files above ``limit_bytes`` are read with a
     fixed list of ``fields``; an element that is no object fails there.
+    ``keep_raw`` adds the JSON text of each element as written.
     """
     sizes = {p: file_size(spark, p) for p in paths}
     small = [p for p in paths if sizes[p] <= limit_bytes]
     large = [p for p in paths if sizes[p] > limit_bytes]
     parts = []
     reader = lambda: spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    name = F.col("_metadata.file_name").alias("source_file")
-    if small:
-        whole = reader().option("singleVariantColumn", "v").json(small).select(name, "v")
-        elements = F.try_variant_get("v", "$", "array<variant>")
-        checked = F.when(elements.isNull(), F.raise_error(F.lit("not a JSON array")).cast("array<variant>")).otherwise(elements)
-        parts.append(whole.select("source_file", F.posexplode(checked).alias("pos", "record")))
+    name = (F.col("_metadata.file_path").alias("path"), file_name().alias("source_file"))
+    def checked(array, kind):
+        return F.when(array.isNull(), F.raise_error(F.lit("not a JSON array")).cast(kind)).otherwise(array)
+
+    if small and keep_raw:
+        parsed = lambda kind: checked(F.from_json("value", kind, {"mode": "FAILFAST"}), kind)
+        both = F.arrays_zip(parsed("array<variant>").alias("record"), parsed("array<string>").alias("raw"))
+        whole = spark.read.text(small, wholetext=True).select(*name, F.posexplode(both).alias("pos", "e"))
+        parts.append(whole.select("path", "source_file", "pos", "e.record", "e.raw"))
+    elif small:
+        whole = reader().option("singleVariantColumn", "v").json(small).select(*name, "v")
+        elements = checked(F.try_variant_get("v", "$", "array<variant>"), "array<variant>")
+        parts.append(whole.select("path", "source_file", F.posexplode(elements).alias("pos", "record")))
     if large:
         schema = ", ".join(f"`{f}` VARIANT" for f in fields)
-        rows = reader().schema(schema).json(large).select(name, F.struct(*fields).alias("f"), F.monotonically_increasing_id().alias("n"))
+        rows = reader().schema(schema).json(large).select(*name, F.to_json(F.struct(*fields)).alias("raw"), F.monotonically_increasing_id().alias("n"))
+        in_file = Window.partitionBy("path").orderBy("n")  # a file is read by one task anyway
         parts.append(
-            rows.select(
-                "source_file",
-                (F.row_number().over(Window.partitionBy("source_file").orderBy("n")) - 1).alias("pos"),
-                F.parse_json(F.to_json("f")).alias("record"),
-            )
+            rows.withColumn("pos", F.row_number().over(in_file) - 1).withColumn("record", F.parse_json("raw")).drop("n")
         )
     if not parts:
         raise ValueError("no files to read")
-    return reduce(lambda a, b: a.unionByName(b), [p.withColumn("pos", F.col("pos").cast("bigint")) for p in parts])
+    kept = [*COLUMNS, *(["raw"] if keep_raw else [])]
+    return reduce(
+        lambda a, b: a.unionByName(b), [p.withColumn("pos", F.col("pos").cast("bigint")).select(*kept) for p in parts]
+    )
+
+
+def scan_records(spark: SparkSession, paths: list[str], lines: bool = True, keep_raw: bool = False) -> DataFrame:
+    """(path, source_file, pos, record[, raw]) of all files."""
+    scan = scan_lines if lines else scan_arrays
+    return scan(spark, paths, keep_raw=keep_raw)
 
 
-def scan_records(spark: SparkSession, paths: list[str], lines: bool = True) -> DataFrame:
-    return scan_lines(spark, paths) if lines else scan_arrays(spark, paths)
+def in_file_order(spark: SparkSession, df: DataFrame, paths: list[str], name: str = "id") -> DataFrame:
+    """Add a dense id along the listed files and the positions inside them."""
+    listed = [(canonical_uri(spark, p), i) for i, p in enumerate(paths)]
+    order = spark.createDataFrame(listed, "__path string, __file int")  # one row per listed file
+    local = F.regexp_replace("path", "^file:/+", "file:/")
+    tagged = df.join(F.broadcast(order), local == F.col("__path"))
+    segments = [F.col("__file"), F.shiftright("pos", 13)]
+    return dense_position(tagged, ["__file", "pos"], segments, name=name).drop("__file", "__path")
 
 
 def source_counts(df: DataFrame, source: str = "source_file") -> DataFrame:

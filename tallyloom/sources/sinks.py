@@ -1,6 +1,6 @@
 """JSON sinks, chunked output, results documents and run checkpoints."""
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions.fixed_values import CHUNK_SIZE
 from tallyloom.functions.pretty import pretty_json
@@ -14,12 +14,11 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def assign_chunks(df: DataFrame, row_id: str, size: int = CHUNK_SIZE, name: str = "part") -> DataFrame:
-    """Add the chunk number and label of each row in id order."""
-    placed = position_by_id(df, row_id, "__pos")
-    return placed.withColumns(
-        {name: chunk_id(F.col("__pos"), size), "label": chunk_label(chunk_id(F.col("__pos"), size), chunk_count(row_count(df), size))}
-    ).drop("__pos")
+def assign_chunks(df: DataFrame, row_id: str, size: int = CHUNK_SIZE, name: str = "part", dense: bool = False) -> DataFrame:
+    """Add the chunk number and label of each row in id order; ``dense`` ids already are positions."""
+    placed = df.withColumn("__pos", F.col(row_id)) if dense else position_by_id(df, row_id, "__pos")
+    part = chunk_id(F.col("__pos"), size)
+    return placed.withColumns({name: part, "label": chunk_label(part, chunk_count(row_count(df), size))}).drop("__pos")
 
 
 def chunk_manifest(df: DataFrame, row_id: str, size: int = CHUNK_SIZE) -> DataFrame:
@@ -31,44 +30,39 @@ def chunk_manifest(df: DataFrame, row_id: str, size: int = CHUNK_SIZE) -> DataFr
     )
 
 
-def write_chunks(df: DataFrame, path: str, row_id: str, size: int = CHUNK_SIZE, pretty: bool = False) -> None:
+def write_chunks(
+    df: DataFrame,
+    path: str,
+    row_id: str,
+    size: int = CHUNK_SIZE,
+    pretty: bool = False,
+    body: Column | None = None,
+    dense: bool = False,
+) -> None:
     """One folder ``label=partNNN`` per chunk; a single unlabelled output when all fits into one.
 
-    ``pretty`` writes each chunk as one indented JSON array. A chunk is one
-    file of one task, so pretty output needs a positive ``size``.
+    A row is written as the JSON text ``body`` (by default all its columns).
+    Plain chunks are JSON lines. ``pretty`` writes each chunk as one indented
+    JSON array; a chunk is one file of one task, so that needs a positive ``size``.
     """
-    chunked = assign_chunks(df, row_id, size)
-    columns = df.columns
-    if not pretty:
-        out = chunked.select("label", *columns)
-        if size > 0:
-            out = out.repartition("label").sortWithinPartitions("label", row_id)
-        out.write.mode("overwrite").partitionBy("label").json(path)
-        return
-    if size <= 0:
+    if pretty and size <= 0:
         raise ValueError("pretty output needs a chunk size")
-    place = Window.partitionBy("label").orderBy(row_id)  # one chunk
-    body = F.regexp_replace(pretty_json(F.to_json(F.struct(*columns))), "(?m)^", "  ")
-    (
-        chunked.withColumns(
-            {"__rn": F.row_number().over(place), "__n": F.count(F.lit(1)).over(Window.partitionBy("label"))}
-        )
-        .select(
-            "label",
-            "__rn",
+    text = F.to_json(F.struct(*df.columns)) if body is None else body
+    chunked = assign_chunks(df.withColumn("value", text), row_id, size, dense=dense).select("label", row_id, "value")
+    if size > 0:
+        chunked = chunked.repartition("label").sortWithinPartitions("label", row_id)
+    if pretty:
+        first = Window.partitionBy("label").orderBy(row_id)  # one chunk
+        last = Window.partitionBy("label").orderBy(F.col(row_id).desc())
+        chunked = chunked.withColumn(
+            "value",
             F.concat(
-                F.when(F.col("__rn") == 1, F.lit("[\n")).otherwise(F.lit("")),
-                body,
-                F.when(F.col("__rn") == F.col("__n"), F.lit("\n]")).otherwise(F.lit(",")),
-            ).alias("value"),
-        )
-        .repartition("label")
-        .sortWithinPartitions("label", "__rn")
-        .select("label", "value")
-        .write.mode("overwrite")
-        .partitionBy("label")
-        .text(path)
-    )
+                F.when(F.row_number().over(first) == 1, F.lit("[\n")).otherwise(F.lit("")),
+                F.regexp_replace(pretty_json(F.col("value")), "(?m)^", "  "),
+                F.when(F.row_number().over(last) == 1, F.lit("\n]")).otherwise(F.lit(",")),
+            ),
+        ).sortWithinPartitions("label", row_id)
+    chunked.select("label", "value").write.mode("overwrite").partitionBy("label").text(path)
 
 
 # --- results and run checkpoints ---------------------------------------------
