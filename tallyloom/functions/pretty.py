@@ -17,13 +17,15 @@ def pretty_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2), na_action="ignore")
 
 
-def exact_alias(record: Column, raw: Column, keys: tuple[str, ...]) -> Column:
-    """Text of the first non-empty alias, objects and numbers exactly as written in ``raw``.
-
-    ``record`` is the VARIANT of the JSON text ``raw``.
-    """
-    winner = F.coalesce(*[F.when(~is_empty(field(record, k)), F.lit(k)) for k in keys])
-    value = F.coalesce(*[F.when(winner == k, field(record, k)) for k in keys])
-    source = F.coalesce(*[F.when(winner == k, F.get_json_object(raw, f"$['{k}']")) for k in keys])
-    other = pretty_json(F.when(~is_string(value), source))
+def choose(record: Column, keys: tuple[str, ...]) -> Column:
+    """(key, value) of the first non-empty alias; null if there is none."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), field(record, k).alias("value")) for k in keys])
+    return F.get(F.filter(pairs, lambda p: ~is_empty(p["value"])), F.lit(0))
+
+
+def exact_text(choice: Column, raw: Column) -> Column:
+    """Text of a chosen value, objects and numbers as written in the record's JSON text ``raw``."""
+    value = choice["value"]
+    path = F.concat(F.lit("$['"), choice["key"], F.lit("']"))
+    other = pretty_json(F.when(~is_string(value), F.call_function("get_json_object", raw, path)))
     return F.coalesce(F.when(is_string(value), strip(as_string(value))), other, F.lit(""))

@@ -14,7 +14,7 @@ from tallyloom.functions.fixed_values import (
     ROLE_KEYS,
     USER_ROLES,
 )
-from tallyloom.functions.pretty import exact_alias
+from tallyloom.functions.pretty import choose, exact_text
 from tallyloom.functions.templates import message, system_prompt, user_prompt
 from tallyloom.functions.text import (
     as_string,
@@ -86,25 +86,44 @@ def normalize(
     record's own JSON text, indented in the order written.
     """
     rec = F.col(record)
+    if raw:
+        return _normalize_exact(df, rec, raw, source, keep)
     messages = first_filled(rec, MESSAGE_KEYS)
-    own_text = (lambda keys: exact_alias(rec, F.col(raw), keys)) if raw else (lambda keys: resolve_alias(rec, keys))
 
     def with_fallback(keys, roles):
-        if raw:
-            return F.when(is_falsy(first_filled(rec, keys)), chat_parts(messages, roles)).otherwise(own_text(keys))
         # A one-element list names the chosen value, so that it is looked up once.
-        choose = lambda v: F.when(is_falsy(v), chat_parts(messages, roles)).otherwise(to_text(v))
-        return F.get(F.transform(F.array(first_filled(rec, keys)), choose), F.lit(0))
+        text = lambda v: F.when(is_falsy(v), chat_parts(messages, roles)).otherwise(to_text(v))
+        return F.get(F.transform(F.array(first_filled(rec, keys)), text), F.lit(0))
 
     return df.select(
         *keep,
         with_fallback(INSTRUCTION_KEYS, USER_ROLES).alias("instruction"),
-        own_text(INPUT_KEYS).alias("input"),
+        resolve_alias(rec, INPUT_KEYS).alias("input"),
         with_fallback(OUTPUT_KEYS, ASSISTANT_ROLES).alias("output"),
         F.col(source).alias("source_file"),
     )
 
 
+def _normalize_exact(df: DataFrame, rec: Column, raw: str, source: str, keep: tuple[str, ...]) -> DataFrame:
+    fields = {"instruction": INSTRUCTION_KEYS, "input": INPUT_KEYS, "output": OUTPUT_KEYS}
+    roles = {"instruction": USER_ROLES, "output": ASSISTANT_ROLES}
+    chosen = df.select(
+        *keep,
+        source,
+        raw,
+        first_filled(rec, MESSAGE_KEYS).alias("__messages"),
+        *[choose(rec, keys).alias(f"__{name}") for name, keys in fields.items()],
+    )
+
+    def text(name):
+        own = exact_text(F.col(f"__{name}"), F.col(raw))
+        if name not in roles:
+            return own
+        return F.when(is_falsy(F.col(f"__{name}.value")), chat_parts(F.col("__messages"), roles[name])).otherwise(own)
+
+    return chosen.select(*keep, *[text(name).alias(name) for name in fields], F.col(source).alias("source_file"))
+
+
 # --- export formats ----------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fv
-from tallyloom.functions.pretty import exact_alias
+from tallyloom.functions.pretty import choose, exact_text
 from tallyloom.functions.templates import render_chat, user_prompt
 from tallyloom.functions.text import is_empty, is_falsy, strip, to_text
 from tallyloom.operators import records
@@ -43,7 +43,7 @@ def test_to_text(spark):
 def test_exact_text_keeps_order_and_indents(spark):
     df = variants(spark, [{"input": {"b": 1, "a": ["é"]}}, {"context": " s "}, {}])
     want = [json.dumps({"b": 1, "a": ["é"]}, ensure_ascii=False, indent=2), "s", ""]
-    assert column(df, exact_alias(F.col("record"), F.col("raw"), fv.INPUT_KEYS)) == want
+    assert column(df, exact_text(choose(F.col("record"), fv.INPUT_KEYS), F.col("raw"))) == want
 
 
 def test_alias_order(spark):
