@@ -59,17 +59,21 @@ def order_statistics(
 
     # Pass 2: exact interval sizes, and from them the interval of each rank.
     cell = lambda m: sum(((F.col(m) > F.col(f"__cuts_{m}")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
+    cell_columns = {f"__cell_{m}": cell(m) for m in measures}
     cut_rows = lookup_join(rows, sketch.select(*keys, *[f"__cuts_{m}" for m in measures]), keys, measures[0])
-    sizes = cut_rows.groupBy(*keys).agg(
+    sizes = cut_rows.withColumns(cell_columns).groupBy(*keys).agg(
         *[
-            F.array(*[F.count_if(cell(m) == i) for i in range(len(cuts) + 1)]).alias(f"__sizes_{m}")
+            F.array(*[F.count_if(F.col(f"__cell_{m}") == i) for i in range(len(cuts) + 1)]).alias(f"__sizes_{m}")
             for m in measures
         ]
     )
-    located = stage(
-        null_safe_join(sketch, sizes, keys).withColumns({f"__find_{m}": _locate(m, ranks, len(cuts)) for m in measures}),
-        "ranks",
+    # Rows before each interval.
+    summed = lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(len(cuts))),
+        lambda i: F.aggregate(F.slice(f"__sizes_{m}", 1, i), F.lit(0).cast("bigint"), lambda a, b: a + b),
     )
+    counted = null_safe_join(sketch, sizes, keys).withColumns({f"__before_{m}": summed(m) for m in measures})
+    located = stage(counted.withColumns({f"__find_{m}": _locate(m, ranks) for m in measures}), "ranks")
 
     # Pass 3: the values of those intervals, one row per distinct value.
     found = lookup_join(
@@ -78,12 +82,13 @@ def order_statistics(
         keys,
         measures[0],
     )
-    in_cell = lambda m: F.filter(f"__find_{m}", lambda f: f["cell"] == cell(m))
+    found = found.withColumns(cell_columns)
+    in_cell = lambda m: F.filter(f"__find_{m}", lambda f: f["cell"] == F.col(f"__cell_{m}"))
     hits = F.array(
         *[
             F.struct(
                 F.lit(m).alias("measure"),
-                cell(m).alias("cell"),
+                F.col(f"__cell_{m}").alias("cell"),
                 F.col(m).cast("double").alias("value"),
                 in_cell(m).alias("finds"),
             )
@@ -113,18 +118,13 @@ def order_statistics(
     return null_safe_join(located.select(*kept), picked, keys, "left")
 
 
-def _locate(measure: str, ranks: dict[str, Rank], n_cuts: int) -> Column:
+def _locate(measure: str, ranks: dict[str, Rank]) -> Column:
     """(name, cell, rank inside the cell) of every wanted rank; empty for an empty group."""
-    n, sizes = F.col(f"__n_{measure}"), F.col(f"__sizes_{measure}")
-    before = [F.lit(0).cast("bigint")]
-    for i in range(n_cuts):
-        before.append(before[-1] + sizes[i])
-    finds = []
-    for name, (_, rank) in ranks.items():
-        at = rank(n).cast("bigint")
-        cell = sum(((at >= b).cast("int") for b in before[1:]), F.lit(0))
-        finds.append(
-            F.struct(F.lit(name).alias("name"), cell.alias("cell"), (at - F.get(F.array(*before), cell)).alias("rank"))
-        )
-    none = F.array().cast("array<struct<name:string,cell:int,rank:bigint>>")
-    return F.when(n > 0, F.array(*finds)).otherwise(none)
+    n, before = F.col(f"__n_{measure}"), F.col(f"__before_{measure}")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(n).cast("bigint").alias("at")) for name, (_, rank) in ranks.items()])
+
+    def place(w: Column) -> Column:
+        cell = F.size(F.filter(before, lambda b: b <= w["at"])) - 1
+        return F.struct(w["name"].alias("name"), cell.alias("cell"), (w["at"] - F.get(before, cell)).alias("rank"))
+
+    return F.transform(F.filter(wanted, lambda w: n > 0), place)

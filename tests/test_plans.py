@@ -43,10 +43,14 @@ def test_load_instructions(spark, tmp_path):
     assert count(load(DATASET_FILES="t.json", VALIDATION_SPLIT="0.5", MAX_TRAIN_SAMPLES="7")) == {"train": 7, "validation": 30}
     capped = load(MAX_TRAIN_SAMPLES="4", MAX_VALID_SAMPLES="2", SHUFFLE_DATASETS="no").filter("split = 'train'")
     assert sorted(r.instruction for r in capped.collect()) == ["i0", "i1", "i2", "i3"]
-    features = training_data.training_features(load(), "finance")
-    assert features.count() == 65 and {"input_ids", "labels", "length"} < set(features.columns)
+
+
+def test_training_features(spark):
+    records = spark.createDataFrame([(i, f"i{i}", "", "o", "train") for i in range(5)], "id bigint, instruction string, input string, output string, split string")
+    features = training_data.training_features(records, "finance")
+    assert features.count() == 5 and {"input_ids", "labels", "length"} < set(features.columns)
     with pytest.raises(ValueError):
-        training_data.training_features(load(), "finance", max_length=3)
+        training_data.training_features(records, "finance", max_length=3)
 
 
 @pytest.mark.parametrize("mode", ["random", "head", "stride"])
