@@ -108,6 +108,7 @@ FAILURE_LIMIT = 3
 ALL_FAILED = "All requests failed"
 ABORTED_REQUEST = "Aborted due to too many failures"
 CALIBRATION_ERROR = "Unknown sample keys"
+RESULTS_PREFIX = "benchmark_results_"
 
 # Stock serving settings and multi-GPU special cases.
 STOCK_MEM_UTIL = 0.80

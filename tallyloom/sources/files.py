@@ -88,6 +88,10 @@ def delete(spark: SparkSession, name: str) -> bool:
     return _fs(spark, name).delete(_path(spark, name), True)
 
 
+#: Folders of sessions without a checkpoint folder, by application.
+_own_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name in the shared checkpoint folder of the cluster.
 
@@ -96,6 +100,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = _own_roots[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyloom.functions.fixed_values import CHUNK_SIZE
+from tallyloom.functions.fixed_values import CHUNK_SIZE, RESULTS_PREFIX
 from tallyloom.functions.pretty import pretty_json
 from tallyloom.operators.position import position_by_id
 from tallyloom.operators.select import chunk_count, chunk_id, chunk_label, row_count
@@ -78,7 +78,7 @@ def results_documents(summaries: DataFrame, header: list[str], level: str = "lev
     body = [c for c in summaries.columns if c not in header and c != level]
     return summaries.groupBy(*header).agg(
         F.array_sort(F.collect_list(F.struct(level, *body))).alias("results")
-    ).withColumn("file_name", F.concat(F.lit("benchmark_results_"), safe_name(F.col("model"))))
+    ).withColumn("file_name", F.concat(F.lit(RESULTS_PREFIX), safe_name(F.col("model"))))
 
 
 def write_results(summaries: DataFrame, path: str, header: list[str]) -> None:
