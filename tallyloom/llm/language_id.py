@@ -8,7 +8,7 @@ weights lie in arrays sorted by the hash of the n-gram, one column per language.
 A text gets the language of the lowest cross-entropy per letter over the words of the whole text.
 Rejection is calibrated on texts the counts have not seen: per language, the mean of the
 cross-entropy, its spread between texts and the spread of a single word say how high that of a
-text with so many words may be. A text without letters (null, empty, digits only) is `und`, with score
+text with so many different words may be. A text without letters (null, empty, digits only) is `und`, with score
 0, and rejected. Ties go to the language first in alphabetical order.
 
 Learned from a sample: about SAMPLE documents per language (all, if there are fewer), chosen by
@@ -174,7 +174,7 @@ class Reader:
             mean, between, within = limits[best]
             langs.append(self.models.langs[best])
             scores.append(float(1 / np.exp(SHARPNESS * (entropy[best] - entropy)).sum()))
-            rejected.append(bool(entropy[best] > mean + DEVIATIONS * np.sqrt(between**2 + within**2 / len(words))))
+            rejected.append(bool(entropy[best] > mean + DEVIATIONS * np.sqrt(between**2 + within**2 / len(set(words)))))
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
 

@@ -7,21 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, fingerprints, simhash, url_rules
-from tallyloom.llm.common import table
+from tallyloom.llm import bpe, embedding_dedup, fingerprints, html_text, language_id, packing, simhash, toxicity, url_rules
+from tallyloom.llm.common import remainder, table
 
 #: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers have a file; every executor has them at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
+    """Learned from the labelled documents whose remainder by 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder(F.col("doc_id"), 4) != 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    return toxicity.learn(docs.join(labels, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = toxicity.judge(table(spark, sf_dir, "documents"), toxicity_network(spark, sf_dir))
+    return told.withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+
+
+def language_models(spark: SparkSession, sf_dir: str) -> language_id.Models | None:
+    """Learned from the documents whose remainder by 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.learn(docs.where(remainder(F.col("doc_id"), 5) != 0))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = language_id.identify(table(spark, sf_dir, "documents"), language_models(spark, sf_dir))
+    return told.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
@@ -33,7 +75,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op7_simhash, op9_url_rules, op10_fingerprints)
+    f.__name__: f for f in (op1_embedding_dedup, op3_toxicity, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_html_text, op9_url_rules, op10_fingerprints)
 }
 
 ORACLES: dict[str, str] = {
