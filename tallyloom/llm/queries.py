@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, embedding_dedup, fingerprints, html_text, language_id, packing, simhash, toxicity, url_rules
+from tallyloom.llm import bpe, embedding_dedup, fingerprints, html_text, language_id, ngram_scoring, packing, simhash, toxicity, url_rules
 from tallyloom.llm.common import remainder, table
 
 #: host, path, verdict
@@ -25,6 +25,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
     """Learned from the labelled documents whose remainder by 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder(F.col("doc_id"), 4) != 2)
@@ -75,7 +79,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op3_toxicity, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_html_text, op9_url_rules, op10_fingerprints)
+    f.__name__: f for f in (op1_embedding_dedup, op2_ngram_scoring, op3_toxicity, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_html_text, op9_url_rules, op10_fingerprints)
 }
 
 ORACLES: dict[str, str] = {
