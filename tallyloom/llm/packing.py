@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import staged, whole
 
-CAPACITY, END, CACHE = 4096, 1, 400_000
+CAPACITY, END, CACHE = 4096, 1, 700_000
 #: Documents of one length that are ranked in one task, about.
-RANKED = 200_000
+RANKED = 20_000
 #: White space to Python, but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -47,17 +47,38 @@ class Encoder:
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The vocabulary's pattern never joins what white space parts, nor does its normaliser."""
-        split = [t.split() if not ODD_SPACE.search(t) else re.split("[ \t\n\r]+", t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({w for words in split for w in words})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The vocabulary's pattern never joins what white space parts, nor does its normaliser; it also cuts letters from marks."""
+        split = [_lowered(t).split() if not ODD_SPACE.search(t) else re.split("[ \t\n\r]+", t) for t in texts]
+        known = self.known
+        new = {w for words in split for w in words if w not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = {w for words in split for w in words}
+        # Most new words are letters and one mark; the letters are looked up or learned by themselves.
+        marked = {w for w in new if w[-1] in ",." and w[:-1].isalpha()}
+        bare = {w[:-1] for w in marked}
+        self._learn([w for w in (new - marked) | bare | {",", "."} if w not in known])
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _lowered(text: str) -> str:
+    """In lower case, where that is sure to be what the normaliser does and no special token can come of it: Latin-1 without `<|`."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 _encoders: dict[str, Encoder] = {}
