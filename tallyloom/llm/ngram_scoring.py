@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import whole, whole_keys
 
 BACKOFF, CACHE = 0.4, 300_000
+#: Buckets of documents for each hash partition; a task holds one at a time.
+BUCKETS = 4
 WORDS = re.compile(r"\w+")
 #: Low bits of a hash choose the partition, the others are the key in it.
 LOW = 24
@@ -155,8 +157,8 @@ def scored(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, log_score, mean_log."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    dealt = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(partitions)).cast("int")).repartition(partitions, "key")
-    packets = dealt.select("key", "text").sortWithinPartitions("key").mapInPandas(_packets(partitions), "bucket int, part int, n long, keys binary, counts binary")
+    dealt = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS * partitions)).cast("int")).repartition(partitions, "key")
+    packets = dealt.sortWithinPartitions("key").mapInPandas(_packets(partitions), "bucket int, part int, n long, keys binary, counts binary")
     sums = packets.repartition(partitions, "part").sortWithinPartitions("part").mapInPandas(_summed, "bucket int, part int, n long, sums binary")
 
     def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
