@@ -49,7 +49,7 @@ def _hashes(letters: np.ndarray) -> list[np.ndarray]:
     """hashes[n][i]: of the n letters up to i."""
     out, grow = [np.zeros(len(letters), np.uint64)], (letters + np.uint64(1)) * MIX
     for n in range(1, ORDER + 1):
-        before = np.r_[np.zeros(n - 1, np.uint64), grow[: len(grow) - n + 1]]
+        before = np.r_[np.zeros(n - 1, np.uint64), grow][: len(grow)]
         h = (out[-1] ^ before) * STEP
         out.append(h ^ (h >> np.uint64(29)))
     return out

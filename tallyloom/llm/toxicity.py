@@ -56,7 +56,7 @@ class Inputs:
         grow, h = (letters + np.uint64(1)) * MIX, np.zeros(len(letters), np.uint64)
         self.runs = []
         for n in range(1, 6):
-            h = (h ^ np.r_[np.zeros(n - 1, np.uint64), grow[: len(grow) - n + 1]]) * STEP
+            h = (h ^ np.r_[np.zeros(n - 1, np.uint64), grow][: len(grow)]) * STEP
             h ^= h >> np.uint64(29)
             if n >= 3:
                 bucket = (h >> np.uint64(40)).astype(np.int64) % RUN_BUCKETS
@@ -224,7 +224,7 @@ class Reader:
         parts = [new[i : i + 20_000] for i in range(0, len(new), 20_000)]
         self.table = np.concatenate([self.table, *[self.net.gates(Inputs(x).vectors(self.net.p))[:-1] for x in parts]])
         table = np.concatenate([self.table, np.zeros((1, 6 * HIDDEN), np.float32)])
-        text = np.repeat(np.arange(len(split)), [len(starts(len(w))) if w else 0 for w in split])
+        text = np.repeat(np.arange(len(split)), np.array([len(starts(len(w))) if w else 0 for w in split], np.int64))
         span = np.arange(WINDOW)
         out, done, todo, held = np.zeros(len(text), np.float32), 0, [], 0
 
