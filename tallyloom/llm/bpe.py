@@ -36,7 +36,7 @@ from tallyloom.llm.common import whole
 
 #: The pattern that byte-level vocabularies of this kind cut texts with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE, SHORT, WINDOW = 400_000, 48, 4096
+CACHE, SHORT, WINDOW = 700_000, 48, 4096
 
 
 def byte_letters() -> dict[str, int]:

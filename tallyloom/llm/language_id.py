@@ -33,7 +33,7 @@ CALIBRATE, DEVIATIONS = 10, 6.0
 #: Scores: chances of languages from nats per letter over this many letters.
 SHARPNESS = 8.0
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-CACHE = 400_000
+CACHE = 300_000
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -192,7 +192,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
     if not len(counted):
         return None
     models = Models({lang: (part["word"].tolist(), part["n"].to_numpy(float)) for lang, part in counted.groupby("lang")})
-    models.calibrate(chosen.where("fold = 0").select("lang", "text").toPandas())
+    models.calibrate(chosen.where("fold = 0").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text").toPandas())
     return models
 
 
@@ -210,14 +210,21 @@ def identified(docs: DataFrame, models: Models | None) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = _readers.get(held.value) or _readers.setdefault(held.value, Reader(held.value))
+        reader = _reader(held.value)
         for texts in batches:
             yield reader.read(texts.tolist())
 
     return F.pandas_udf(read, RESULT)(whole(F.col("text")))
 
 
-_readers: dict[Models, Reader] = {}
+_last: list[Reader] = []
+
+
+def _reader(models: Models) -> Reader:
+    """The reader that this Python process had last, or a new one in its place."""
+    if not _last or _last[0].models is not models:
+        _last[:] = [Reader(models)]
+    return _last[0]
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:

@@ -32,8 +32,8 @@ def op2_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
     """Learned from the labelled documents whose remainder by 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder(F.col("doc_id"), 4) != 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    return toxicity.learn(docs.join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.learn(docs, labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

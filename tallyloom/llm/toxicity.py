@@ -35,7 +35,7 @@ WORD_BUCKETS, WORD_SIZE, RUN_BUCKETS, RUN_SIZE, HIDDEN, ATTENTION = 4_096, 8, 32
 ROUNDS, STEPS, BATCH, RATE, SEED = 4, 80, 192, 0.01, 11
 #: Windows of clean texts that are looked through for the worst ones, each round.
 LOOKED_AT = 10_000
-THRESHOLD, CACHE = 0.3, 250_000
+THRESHOLD, CACHE = 0.3, 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -212,18 +212,19 @@ class Reader:
     """Scores whole texts; keeps the gates of up to CACHE words."""
 
     def __init__(self, network: Network):
-        self.net, self.place, self.table = network, Places(), np.zeros((0, 6 * HIDDEN), np.float32)
+        self.net, self.place, self.table = network, Places(), np.zeros((1, 6 * HIDDEN), np.float32)
 
     def logits(self, split: list[list[str]], block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Of all windows of all texts, and which text each belongs to."""
         if len(self.place) > CACHE:
-            self.place, self.table = Places(), self.table[:0]
+            self.place, self.table = Places(), self.table[-1:]
         get = self.place.__getitem__
         read = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
-        new = list(islice(self.place, len(self.table), None))
-        parts = [new[i : i + 20_000] for i in range(0, len(new), 20_000)]
-        self.table = np.concatenate([self.table, *[self.net.gates(Inputs(x).vectors(self.net.p))[:-1] for x in parts]])
-        table = np.concatenate([self.table, np.zeros((1, 6 * HIDDEN), np.float32)])
+        new = list(islice(self.place, len(self.table) - 1, None))
+        if new:  # the last row stays that of no word
+            parts = [new[i : i + 20_000] for i in range(0, len(new), 20_000)]
+            self.table = np.concatenate([self.table[:-1], *[self.net.gates(Inputs(x).vectors(self.net.p))[:-1] for x in parts], self.table[-1:]])
+        table = self.table
         text = np.repeat(np.arange(len(split)), np.array([len(starts(len(w))) if w else 0 for w in split], np.int64))
         span = np.arange(WINDOW)
         out, done, todo, held = np.zeros(len(text), np.float32), 0, [], 0
@@ -312,16 +313,19 @@ def train(texts: list[str], labels: np.ndarray, folds: np.ndarray, seed: int = S
     return net
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """From labelled(doc_id, text, toxic), toxic 0 or 1."""
-    rows = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """From docs(doc_id, text) and labels(doc_id, toxic), toxic 0 or 1; an id counts once for each label it has."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("id"), "toxic").distinct()
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, 2 * sample / sizes[0]))
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(3)), F.lit(1_000_000))
-    got = rows.where(draw < F.ceil(share * 1_000_000)).toPandas().sort_values(["doc_id", "text"])
-    folds = np.array([zlib.crc32(str(i).encode()) % KEPT_OUT for i in got["doc_id"]])
+    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
+    # About three times `sample` ids at most, so they may be broadcast; texts of others are never moved.
+    chosen = F.broadcast(known.where(draw < F.ceil(share * 1_000_000)))
+    some = docs.where("text is not null").join(chosen, F.col("doc_id") == F.col("id"))
+    got = some.groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("id")
+    folds = np.array([zlib.crc32(str(i).encode()) % KEPT_OUT for i in got["id"]])
     return train(got["text"].tolist(), got["toxic"].to_numpy(int), folds)
 
 
@@ -332,14 +336,21 @@ def scored(docs: DataFrame, network: Network | None) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(network)
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = _readers.get(held.value) or _readers.setdefault(held.value, Reader(held.value))
+        reader = _reader(held.value)
         for texts in batches:
             yield pd.Series(reader.scores(texts.tolist()))
 
     return F.pandas_udf(read, "double")(whole(F.col("text")))
 
 
-_readers: dict[Network, Reader] = {}
+_last: list[Reader] = []
+
+
+def _reader(network: Network) -> Reader:
+    """The reader that this Python process had last, or a new one in its place."""
+    if not _last or _last[0].net is not network:
+        _last[:] = [Reader(network)]
+    return _last[0]
 
 
 def judge(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
