@@ -121,3 +121,6 @@ SPECIAL_GPU_MODELS = (
     "sparkarena/Minimax-M3-v0-NVFP4",
 )
 SPECIAL_GPUS = 4
+
+# Spellings that switch an option on.
+TRUE_WORDS = ("1", "true", "yes", "y", "on")

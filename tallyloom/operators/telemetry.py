@@ -79,7 +79,8 @@ def checkpoint_step(path):
 
 
 def latest_checkpoint(df: DataFrame, run: str = "run_id", path: str = "path", seq: str = "seq") -> DataFrame:
-    """Path with the highest step per run; of equal steps the last by ``seq``."""
-    return df.groupBy(run).agg(
+    """Path named ``checkpoint-*`` with the highest step per run; of equal steps the last by ``seq``. Runs without one are left out."""
+    named = df.filter(F.substring_index(F.rtrim(F.col(path), F.lit("/")), "/", -1).startswith("checkpoint-"))
+    return named.groupBy(run).agg(
         F.max_by(path, F.struct(checkpoint_step(F.col(path)).alias("step"), F.col(seq).alias("seq"))).alias("path")
     )

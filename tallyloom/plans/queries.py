@@ -570,7 +570,7 @@ def catalog_lookup(spark, sf_dir):
 @query
 def layered_override(spark, sf_dir):
     """Settings per request: an override text (often empty), the model's own value, the stock default."""
-    own = catalog.parse_catalog(views.catalog_lines(spark, sf_dir)).select(
+    own = catalog.first_match(catalog.parse_catalog(views.catalog_lines(spark, sf_dir), keep=("pos",)), "pos").select(
         F.col("id").alias("model"), (F.col("gpus") * 16384).alias("own_len"), F.when(F.col("gpus") > 1, F.col("gpus") * 8).alias("own_seqs")
     )
     rows = _requests_by_nation(spark, sf_dir).join(own, "model", "left")

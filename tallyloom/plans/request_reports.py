@@ -21,7 +21,8 @@ def run_report(
     ``results`` has the four guard columns, level, micros, request_id and the
     result columns. Levels found in a checkpoint of the same settings are
     taken from there. A run that was cut off keeps its finished levels as a
-    checkpoint and gets no results document; the checkpoint goes when every
+    checkpoint, together with those kept there before, and gets no results
+    document; the checkpoint goes when every
     run is finished.
     """
     keys = [*runs.GUARD, "level"]
@@ -38,6 +39,14 @@ def run_report(
     if cut.isEmpty():
         sinks.finish_run(spark, fresh, output, checkpoint, runs.GUARD)
         return spark.read.json(output).select("model", F.explode("results").alias("r")).select("model", "r.*")
-    if stored is None:
-        sinks.write_checkpoint(fresh, checkpoint, runs.GUARD)
-    return fresh
+    every = fresh
+    if stored is not None:
+        # Levels of these settings that this run did not come to stay; other settings start afresh.
+        old = stored.select(*runs.GUARD, F.explode("completed").alias("level", "summary"))
+        old = old.withColumn("level", F.col("level").cast(fresh.schema["level"].dataType)).select(*keys, "summary.*")
+        old = null_safe_join(old, ended.select(*runs.GUARD).distinct(), runs.GUARD, "left_semi")
+        every = fresh.unionByName(null_safe_join(old, fresh.select(*keys), keys, "left_anti"))
+    sinks.write_checkpoint(every, checkpoint, runs.GUARD)
+    # What was read from the old checkpoint is read from the new one from here on.
+    levels = sinks.read_checkpoint(spark, checkpoint).select(*runs.GUARD, F.explode("completed").alias("level", "summary"))
+    return levels.withColumn("level", F.col("level").cast(fresh.schema["level"].dataType)).select(*keys, "summary.*")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.functions.fixed_values import MAX_LENGTH, SEED, VALIDATION_FRACTION
+from tallyloom.functions.fixed_values import MAX_LENGTH, SEED, TRUE_WORDS, VALIDATION_FRACTION
 from tallyloom.operators import select, tokens
 from tallyloom.operators.records import normalize
 from tallyloom.sources.json_records import in_file_order, scan_records
@@ -15,14 +15,26 @@ def read_instructions(spark: SparkSession, paths: list[str], lines: bool = True)
     return normalize(scanned, keep=("id",), raw="raw")
 
 
-def option(options: dict[str, str], name: str, default, kind):
-    value = options.get(name)
-    return default if value in (None, "") else kind(value)
+#: Type and default of each option; a switch that is given is on for TRUE_WORDS only.
+OPTIONS = {
+    "DATASET_SEED": (int, SEED),
+    "SHUFFLE_DATASETS": (bool, True),
+    "MAX_TRAIN_SAMPLES": (int, 0),
+    "MAX_VALID_SAMPLES": (int, 0),
+    "VALIDATION_SPLIT": (float, VALIDATION_FRACTION),
+}
 
 
-def flag(options: dict[str, str], name: str, default: bool) -> bool:
-    value = options.get(name)
-    return default if value is None else value.strip().lower() in ("1", "true", "yes", "y", "on")
+def typed(given: dict[str, str]) -> dict:
+    """All options with their types; what is not given, and an empty number, has its default."""
+    out = {}
+    for name, (kind, default) in OPTIONS.items():
+        text = given.get(name)
+        if kind is bool and text is not None:
+            out[name] = text.strip().casefold() in TRUE_WORDS
+        else:
+            out[name] = kind(text) if text else default
+    return out
 
 
 def load_instructions(
@@ -41,14 +53,12 @@ def load_instructions(
     shuffled: ``pos`` then holds the training order.
     """
     sources = resolve_sources(spark, options, base_dir, default_train, default_validation)
-    seed = option(options, "DATASET_SEED", SEED, int)
-    shuffled = flag(options, "SHUFFLE_DATASETS", True)
-    max_train = option(options, "MAX_TRAIN_SAMPLES", 0, int)
-    max_validation = option(options, "MAX_VALID_SAMPLES", 0, int)
+    chosen = typed(options)
+    seed, shuffled = chosen["DATASET_SEED"], chosen["SHUFFLE_DATASETS"]
+    max_train, max_validation = chosen["MAX_TRAIN_SAMPLES"], chosen["MAX_VALID_SAMPLES"]
     train = tokens.require_rows(read_instructions(spark, sources.train, lines), "no training records")
     if not sources.validation:
-        fraction = option(options, "VALIDATION_SPLIT", VALIDATION_FRACTION, float)
-        return select.split(train, fraction, "id", seed, shuffled, max_train, max_validation)
+        return select.split(train, chosen["VALIDATION_SPLIT"], "id", seed, shuffled, max_train, max_validation)
     validation = tokens.require_rows(read_instructions(spark, sources.validation, lines), "no validation records")
     if shuffled:
         train = select.sample_random(train, max_train, "id", seed)

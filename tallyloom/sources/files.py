@@ -84,6 +84,10 @@ def file_size(spark: SparkSession, name: str) -> int:
     return _fs(spark, name).getFileStatus(_path(spark, name)).getLen()
 
 
+def move(spark: SparkSession, name: str, to: str) -> bool:
+    return _fs(spark, name).rename(_path(spark, name), _path(spark, to))
+
+
 def delete(spark: SparkSession, name: str) -> bool:
     return _fs(spark, name).delete(_path(spark, name), True)
 
@@ -95,11 +99,13 @@ _own_roots: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name in the shared checkpoint folder of the cluster.
 
-    Only a session without ``spark.checkpoint.dir`` gets a folder of its own,
-    which suits a single machine.
+    Only a local session without one gets a folder of its own; elsewhere
+    executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")

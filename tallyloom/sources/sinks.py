@@ -6,7 +6,7 @@ from tallyloom.functions.fixed_values import CHUNK_SIZE, RESULTS_PREFIX
 from tallyloom.functions.pretty import pretty_json
 from tallyloom.operators.position import position_by_id
 from tallyloom.operators.select import chunk_count, chunk_id, chunk_label, row_count
-from tallyloom.sources.files import delete, exists
+from tallyloom.sources.files import delete, exists, move
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -93,8 +93,15 @@ def checkpoint_documents(summaries: DataFrame, guard: list[str], level: str = "l
 
 
 def write_checkpoint(summaries: DataFrame, path: str, guard: list[str]) -> None:
-    """Parquet keeps the summary types and reads back without inference."""
-    checkpoint_documents(summaries, guard).write.mode("overwrite").parquet(path)
+    """Parquet keeps the summary types and reads back without inference.
+
+    Written beside the old checkpoint first, which ``summaries`` may still read.
+    """
+    beside = f"{path.rstrip('/')}.next"
+    checkpoint_documents(summaries, guard).write.mode("overwrite").parquet(beside)
+    if exists(summaries.sparkSession, path):
+        delete(summaries.sparkSession, path)
+    move(summaries.sparkSession, beside, path)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
