@@ -33,7 +33,7 @@ CALIBRATE, DEVIATIONS = 10, 6.0
 #: Scores: chances of languages from nats per letter over this many letters.
 SHARPNESS = 8.0
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-CACHE = 300_000
+CACHE = 200_000
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

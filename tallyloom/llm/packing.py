@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import staged, whole
 
-CAPACITY, END, CACHE = 4096, 1, 700_000
+CAPACITY, END, CACHE = 4096, 1, 500_000
 #: Documents of one length that are ranked in one task, about.
 RANKED = 20_000
 #: White space to Python, but not to the tokenizer.

@@ -35,7 +35,7 @@ WORD_BUCKETS, WORD_SIZE, RUN_BUCKETS, RUN_SIZE, HIDDEN, ATTENTION = 4_096, 8, 32
 ROUNDS, STEPS, BATCH, RATE, SEED = 4, 80, 192, 0.01, 11
 #: Windows of clean texts that are looked through for the worst ones, each round.
 LOOKED_AT = 10_000
-THRESHOLD, CACHE = 0.3, 200_000
+THRESHOLD, CACHE = 0.3, 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
