@@ -33,7 +33,7 @@ CAPACITY, END, CACHE = 4096, 1, 500_000
 #: Documents of one length that are ranked in one task, about.
 RANKED = 20_000
 #: White space to Python, but not to the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -46,28 +46,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[-1]
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        """Words of letters are tokenised in one text, parted by commas, which the vocabulary's pattern always sets apart."""
+        plain, other = [], []
+        for w in words:
+            (plain if _letters(w) else other).append(w)
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for some, e in zip(groups, self._ids([",".join(g) for g in groups], 20), strict=True):
+            ids = np.array(e, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.comma)).tolist(), 4 * len(ids)]
+            if len(ends) != len(some):
+                other += some
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                self.known[w] = data[start:end]
+                start = end + 4
+        for w, e in zip(other, self._ids(other), strict=True):
+            self.known[w] = np.array(e, "<u4").tobytes()
+
+    def _ids(self, texts: list[str], at_once: int = 10_000) -> Iterator[list[int]]:
+        for i in range(0, len(texts), at_once):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield e.ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The vocabulary's pattern never joins what white space parts, nor does its normaliser; it also cuts letters from marks."""
-        split = [_lowered(t).split() if not ODD_SPACE.search(t) else re.split("[ \t\n\r]+", t) for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = {w for words in split for w in words}
+        split = [_lowered(t).split() if not any(c in t for c in ODD_SPACE) else re.split("[ \t\n\r]+", t) for t in texts]
+        known, words = self.known, set().union(*split)
+        new = words.difference(known)
+        if len(known) + len(new) > CACHE:  # what these texts use stays
+            for w in known.keys() - words - {",", "."}:
+                del known[w]
         # Most new words are letters and one mark; the letters are looked up or learned by themselves.
-        marked = {w for w in new if w[-1] in ",." and w[:-1].isalpha()}
+        marked = {w for w in new if w[-1] in ",." and _letters(w[:-1])}
         bare = {w[:-1] for w in marked}
         self._learn([w for w in (new - marked) | bare | {",", "."} if w not in known])
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, some)) for some in split]
 
 
 def _lowered(text: str) -> str:
@@ -81,6 +100,11 @@ def _lowered(text: str) -> str:
     return text.lower()
 
 
+def _letters(word: str) -> bool:
+    """Latin letters that stay letters in lower case; of others some become a letter and a mark, which joins a comma behind it."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0370" and word.lower().isalpha()))
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -94,6 +94,16 @@ def test_ngram_scores(spark, odd):
     assert ngram_scoring.scored(odd).count() == odd.count() and ngram_scoring.scored(odd.limit(0)).count() == 0
 
 
+def test_packing_encoder_learns_words_together():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["a,b ,c,,", "\u0130 \u0131 \u00df, \u0130, \u0958, \u1e9e. x", "\u4e2d\u6587 \u5b57, \u0915\u093c,", "<|endoftext|> <|x", "a\x1cb\x1f c", "na\u00efve, e\u0301t\u00e9. it's", "", " ", "y" * 3000]
+    for text, ids in zip(texts * 2, encoder.encode(texts) + encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_keys_and_counts():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**40, 500).astype(np.uint64))
     assert (ngram_scoring.unpack_keys(ngram_scoring.pack_keys(keys)) == keys).all()
