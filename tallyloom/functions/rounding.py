@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 #: Measures are summed as decimals, so a sum does not depend on partitioning.
-EXACT = "decimal(18,9)"
+EXACT = "decimal(28,9)"
 #: Cuts a double into two halves whose products with a power of ten are exact.
 SPLIT = 134217729.0
 
@@ -33,7 +33,9 @@ def round_even(value: Column, digits: int) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    return F.sum(value.cast(EXACT)).cast("double")
+    """The same sum however rows are partitioned; with values that no decimal holds, their sum as doubles."""
+    held = value.try_cast(EXACT)
+    return F.when(F.count(held) == F.count(value), F.try_sum(held).cast("double")).otherwise(F.sum(value.cast("double")))
 
 
 def exact_mean(value: Column) -> Column:

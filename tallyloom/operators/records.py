@@ -23,6 +23,7 @@ from tallyloom.functions.text import (
     first_truthy,
     is_empty,
     is_falsy,
+    is_string,
     strip,
     to_text,
 )
@@ -127,18 +128,27 @@ def _normalize_exact(df: DataFrame, rec: Column, raw: str, source: str, keep: tu
 # --- export formats ----------------------------------------------------------
 
 
-def to_alpaca(df: DataFrame, record: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(instruction, input, output) from the three canonical keys only."""
+def to_alpaca(df: DataFrame, record: str = "record", keep: tuple[str, ...] = (), raw: str | None = None) -> DataFrame:
+    """(instruction, input, output) from the three canonical keys only; ``raw`` as in ``normalize``."""
     rec = F.col(record)
-    raw_input = field(rec, "input")
+
+    def text(key: str) -> Column:
+        value = field(rec, key)
+        return exact_text(F.struct(F.lit(key).alias("key"), value.alias("value")), F.col(raw)) if raw else to_text(value)
+
     return df.select(
         *keep,
-        to_text(field(rec, "instruction")).alias("instruction"),
-        F.when(is_empty(raw_input), F.lit("")).otherwise(to_text(raw_input)).alias("input"),
-        to_text(field(rec, "output")).alias("output"),
+        text("instruction").alias("instruction"),
+        F.when(is_empty(field(rec, "input")), F.lit("")).otherwise(text("input")).alias("input"),
+        text("output").alias("output"),
     )
 
 
+def as_string_only(value: Column) -> Column:
+    """A string value as it stands, not stripped; null for any other."""
+    return F.when(is_string(value), as_string(value))
+
+
 def to_sharegpt(df: DataFrame, domain: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One ``conversations`` list (system, human, gpt) from (instruction, input, output) texts."""
 
@@ -188,8 +198,10 @@ def map_role(role: Column) -> Column:
 
 
 def _message_list(value: Column, role_key: str, content_key: str, role=lambda c: c) -> Column:
+    elements = F.try_variant_get(value, "$", "array<variant>")
+    no_list = F.raise_error(F.concat(F.lit(f"{CALIBRATION_ERROR}: "), F.to_json(value))).cast("array<variant>")
     return F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
+        F.when(elements.isNull(), no_list).otherwise(elements),
         lambda m: message(role(as_string(field(m, role_key))), as_string(field(m, content_key))),
     )
 
@@ -197,8 +209,8 @@ def _message_list(value: Column, role_key: str, content_key: str, role=lambda c:
 def calibration_messages(record: Column) -> Column:
     """Messages of a calibration record, chosen by which keys are present.
 
-    Null for a plain ``text`` record. A record with none of the known keys
-    raises an error.
+    Null for a plain ``text`` record. A record with none of the known keys, or
+    without a list where one belongs, raises an error.
     """
     has = lambda key: field(record, key).isNotNull()
     answer = F.coalesce(

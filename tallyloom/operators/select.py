@@ -3,6 +3,7 @@
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyloom.functions.fixed_values import (
     CHUNK_SIZE,
@@ -24,7 +25,7 @@ from tallyloom.operators.position import (
     within_smallest_k,
 )
 
-#: Up to this many rows a head is a top-k; beyond, a filter at the n-th id.
+#: Up to this many rows the n-th id is found by a top-k of ids; beyond, from their positions.
 TOP_K_ROWS = 10_000
 
 
@@ -78,12 +79,16 @@ def id_at(df: DataFrame, row_id: str, pos: Column) -> Column:
 
 
 def head(df: DataFrame, n: int, pos: str) -> DataFrame:
-    """First ``n`` rows by ``pos``; all rows when ``n`` is 0 or less."""
+    """First ``n`` rows by the whole number ``pos``, in no order; all rows when ``n`` is 0 or less."""
+    if not isinstance(df.schema[pos].dataType, IntegralType):
+        raise TypeError(f"{pos} must be a whole number")
     if n <= 0:
         return df
     if n <= TOP_K_ROWS:
-        return df.orderBy(pos).limit(n)
-    return df.filter(F.coalesce(F.col(pos) <= id_at(df, pos, F.lit(n - 1)), F.lit(True)))
+        last = df.select(pos).orderBy(pos).limit(n).agg(F.max(pos)).scalar()
+    else:
+        last = id_at(df, pos, F.lit(n - 1))
+    return df.filter(F.coalesce(F.col(pos) <= last, F.lit(True)))
 
 
 def shuffle(df: DataFrame, row_id: str, seed: int = SEED, name: str = "pos") -> DataFrame:

@@ -18,7 +18,7 @@ def enrichment_subset(
     mode: str = "random",
     chunk_size: int = CHUNK_SIZE,
     dedupe: bool = False,
-    lines: bool = True,
+    lines: bool | None = None,
     pretty: bool = False,
 ) -> DataFrame:
     """Write a (de-duplicated) sample of records in chunks; returns the manifest of what was written.
@@ -39,16 +39,20 @@ def enrichment_subset(
         raise ValueError(f"unknown mode {mode!r}")
     body = F.when(F.schema_of_variant("record") == "STRING", F.to_json("record")).otherwise(F.coalesce("raw", F.lit("null")))
     ready = chosen.select(F.col(order).alias("n"), body.alias("body"))
-    sinks.write_chunks(ready, output, "n", chunk_size, pretty, F.col("body"), dense=order == "pos")
-    written = spark.read.text(output)
-    return written.groupBy("label").agg(F.count(F.lit(1)).alias("lines"))
+    dense = order == "pos"
+    sinks.write_chunks(ready, output, "n", chunk_size, pretty, F.col("body"), dense)
+    return sinks.assign_chunks(ready.select("n"), "n", chunk_size, dense=dense).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def export_formats(spark: SparkSession, paths: list[str], domain: str, stem: str, lines: bool = True) -> None:
-    """Write ``<stem>_alpaca`` and ``<stem>_sharegpt`` as JSON lines."""
-    alpaca = records.to_alpaca(scan_records(spark, paths, lines))
+def export_formats(spark: SparkSession, paths: list[str], domain: str, stem: str, lines: bool | None = None) -> None:
+    """Write ``<stem>_alpaca`` and ``<stem>_sharegpt`` as JSON lines; values that are no strings are indented in the order written."""
+    found = scan_records(spark, paths, lines, keep_raw=True)
+    alpaca = records.to_alpaca(found, raw="raw")
     sinks.write_records(alpaca, f"{stem}_alpaca")
-    sinks.write_records(records.to_sharegpt(alpaca, domain), f"{stem}_sharegpt")
+    # A blank input is still an input to the prompt, so it is taken as it stands in the record.
+    asked = found.withColumn("asked", records.as_string_only(records.field(F.col("record"), "input")))
+    texts = records.to_alpaca(asked, keep=("asked",), raw="raw").withColumn("input", F.coalesce("asked", "input"))
+    sinks.write_records(records.to_sharegpt(texts, domain), f"{stem}_sharegpt")
 
 
 def calibration_set(

@@ -9,7 +9,7 @@ from tallyloom.sources.json_records import in_file_order, scan_records
 from tallyloom.sources.resolve import resolve_sources
 
 
-def read_instructions(spark: SparkSession, paths: list[str], lines: bool = True) -> DataFrame:
+def read_instructions(spark: SparkSession, paths: list[str], lines: bool | None = None) -> DataFrame:
     """(id, instruction, input, output, source_file) of all files, ids in file order."""
     scanned = in_file_order(spark, scan_records(spark, paths, lines, keep_raw=True), paths)
     return normalize(scanned, keep=("id",), raw="raw")
@@ -43,7 +43,7 @@ def load_instructions(
     base_dir: str,
     default_train: str,
     default_validation: str,
-    lines: bool = True,
+    lines: bool | None = None,
 ) -> DataFrame:
     """Normalised records with ``split`` = train | validation.
 

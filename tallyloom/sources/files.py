@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import SparkSession
 
@@ -80,8 +81,26 @@ def canonical_uri(spark: SparkSession, name: str) -> str:
     return re.sub("^file:/+", "file:/", _fs(spark, name).makeQualified(_path(spark, name)).toUri().toString())
 
 
-def file_size(spark: SparkSession, name: str) -> int:
-    return _fs(spark, name).getFileStatus(_path(spark, name)).getLen()
+def _first_sign(spark: SparkSession, name: str) -> str:
+    path = _path(spark, name)
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()
+    ).getCodec(path)
+    opened = _fs(spark, name).open(path)
+    stream = codec.createInputStream(opened) if codec else opened
+    try:
+        byte = stream.read()
+        while byte >= 0 and byte in b" \t\r\n":
+            byte = stream.read()
+        return chr(byte) if byte >= 0 else ""
+    finally:
+        stream.close()
+
+
+def first_signs(spark: SparkSession, names: list[str]) -> list[str]:
+    """First sign of each file that is no white space; ``""`` if there is none. Reads a few bytes of each."""
+    with ThreadPool(min(32, len(names) or 1)) as pool:
+        return pool.map(lambda name: _first_sign(spark, name), names)
 
 
 def move(spark: SparkSession, name: str, to: str) -> bool:

@@ -2,17 +2,17 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyloom.functions.fixed_values import INPUT_KEYS, INSTRUCTION_KEYS, MESSAGE_KEYS, OUTPUT_KEYS
 from tallyloom.functions.text import strip
 from tallyloom.operators.position import dense_position
-from tallyloom.sources.files import canonical_uri, file_size
+from tallyloom.sources.files import canonical_uri, first_signs
 
-#: A larger array does not fit into one VARIANT and is read field by field.
-ARRAY_BYTES = 100 * 1024 * 1024
+#: A larger array file fails: one task holds its text and all its elements.
+ARRAY_BYTES = 1024 * 1024 * 1024
 COLUMNS = ("path", "source_file", "pos", "record")
-FIELDS = (*INSTRUCTION_KEYS, *INPUT_KEYS, *OUTPUT_KEYS, *MESSAGE_KEYS)
+#: File lists up to this length are broadcast: a name and a number each.
+LISTED = 50_000
 
 
 def file_name() -> Column:
@@ -46,65 +46,55 @@ def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True, kee
     return placed.select(*COLUMNS, *(["raw"] if keep_raw else []))
 
 
-def scan_arrays(
-    spark: SparkSession,
-    paths: list[str],
-    limit_bytes: int = ARRAY_BYTES,
-    fields: tuple[str, ...] = FIELDS,
-    keep_raw: bool = False,
-) -> DataFrame:
-    """Files that hold one JSON array each; elements may be anything.
+def scan_arrays(spark: SparkSession, paths: list[str], keep_raw: bool = False, limit_bytes: int = ARRAY_BYTES) -> DataFrame:
+    """Files that hold one JSON array each; elements may be anything and keep all their fields.
 
     A file that is no array fails. One file is one task, so large corpora
-    should be kept as JSON lines. Files above ``limit_bytes`` are read with a
-    fixed list of ``fields``; an element that is no object fails there.
+    should be kept as JSON lines; a file above ``limit_bytes`` fails and says so.
     ``keep_raw`` adds the JSON text of each element as written.
     """
-    sizes = {p: file_size(spark, p) for p in paths}
-    small = [p for p in paths if sizes[p] <= limit_bytes]
-    large = [p for p in paths if sizes[p] > limit_bytes]
-    parts = []
-    reader = lambda: spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    name = (F.col("_metadata.file_path").alias("path"), file_name().alias("source_file"))
-    def checked(array, kind):
-        return F.when(array.isNull(), F.raise_error(F.lit("not a JSON array")).cast(kind)).otherwise(array)
-
-    if small and keep_raw:
-        parsed = lambda kind: checked(F.from_json("value", kind, {"mode": "FAILFAST"}), kind)
-        both = F.arrays_zip(parsed("array<variant>").alias("record"), parsed("array<string>").alias("raw"))
-        whole = spark.read.text(small, wholetext=True).select(*name, F.posexplode(both).alias("pos", "e"))
-        parts.append(whole.select("path", "source_file", "pos", "e.record", "e.raw"))
-    elif small:
-        whole = reader().option("singleVariantColumn", "v").json(small).select(*name, "v")
-        elements = checked(F.try_variant_get("v", "$", "array<variant>"), "array<variant>")
-        parts.append(whole.select("path", "source_file", F.posexplode(elements).alias("pos", "record")))
-    if large:
-        schema = ", ".join(f"`{f}` VARIANT" for f in fields)
-        rows = reader().schema(schema).json(large).select(*name, F.to_json(F.struct(*fields)).alias("raw"), F.monotonically_increasing_id().alias("n"))
-        in_file = Window.partitionBy("path").orderBy("n")  # a file is read by one task anyway
-        parts.append(
-            rows.withColumn("pos", F.row_number().over(in_file) - 1).withColumn("record", F.parse_json("raw")).drop("n")
-        )
-    if not parts:
+    if not paths:
         raise ValueError("no files to read")
-    kept = [*COLUMNS, *(["raw"] if keep_raw else [])]
-    return reduce(
-        lambda a, b: a.unionByName(b), [p.withColumn("pos", F.col("pos").cast("bigint")).select(*kept) for p in parts]
+    whole = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), file_name().alias("source_file"), F.col("_metadata.file_size").alias("size"), "value"
     )
+    too_large = F.raise_error(F.concat(F.lit(f"a JSON array of more than {limit_bytes} bytes, write it as JSON lines: "), F.col("path")))
+    text = F.when(F.col("size") > limit_bytes, too_large.cast("string")).otherwise(F.col("value"))
+
+    def parsed(kind: str) -> Column:
+        array = F.from_json(text, kind, {"mode": "FAILFAST"})
+        return F.when(array.isNull(), F.raise_error(F.lit("not a JSON array")).cast(kind)).otherwise(array)
 
+    columns = {"record": parsed("array<variant>"), **({"raw": parsed("array<string>")} if keep_raw else {})}
+    both = F.arrays_zip(*[c.alias(n) for n, c in columns.items()])
+    elements = whole.select("path", "source_file", F.posexplode(both).alias("pos", "e"))
+    return elements.select("path", "source_file", F.col("pos").cast("bigint").alias("pos"), *[f"e.{n}" for n in columns])
 
-def scan_records(spark: SparkSession, paths: list[str], lines: bool = True, keep_raw: bool = False) -> DataFrame:
-    """(path, source_file, pos, record[, raw]) of all files."""
-    scan = scan_lines if lines else scan_arrays
-    return scan(spark, paths, keep_raw=keep_raw)
+
+def scan_records(spark: SparkSession, paths: list[str], lines: bool | None = None, keep_raw: bool = False) -> DataFrame:
+    """(path, source_file, pos, record[, raw]) of all files.
+
+    ``lines`` says that all files hold JSON lines, or one array each; without
+    it, each file whose first sign is an opening bracket is an array.
+    """
+    if lines is not None:
+        return (scan_lines if lines else scan_arrays)(spark, paths, keep_raw=keep_raw)
+    if not paths:
+        raise ValueError("no files to read")
+    signs = first_signs(spark, paths)
+    arrays = [p for p, sign in zip(paths, signs, strict=True) if sign == "["]
+    others = [p for p, sign in zip(paths, signs, strict=True) if sign != "["]
+    parts = [scan(spark, names, keep_raw=keep_raw) for scan, names in ((scan_arrays, arrays), (scan_lines, others)) if names]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def in_file_order(spark: SparkSession, df: DataFrame, paths: list[str], name: str = "id") -> DataFrame:
     """Add a dense id along the listed files and the positions inside them."""
     listed = [(canonical_uri(spark, p), i) for i, p in enumerate(paths)]
     order = spark.createDataFrame(listed, "__path string, __file int")  # one row per listed file
+    order = F.broadcast(order) if len(listed) <= LISTED else order
     local = F.regexp_replace("path", "^file:/+", "file:/")
-    tagged = df.join(F.broadcast(order), local == F.col("__path"))
+    tagged = df.join(order, local == F.col("__path"))
     segments = [F.col("__file"), F.shiftright("pos", 13)]
     return dense_position(tagged, ["__file", "pos"], segments, name=name).drop("__file", "__path")
 

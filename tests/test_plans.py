@@ -16,7 +16,7 @@ def read_lines(path):
     return [line for f in sorted(found) for line in open(f, encoding="utf-8").read().splitlines()]
 
 
-@pytest.mark.parametrize("lines", [True, False])
+@pytest.mark.parametrize("lines", [True, False, None])
 def test_read_instructions(spark, tmp_path, lines):
     sets = {
         "b c": [{"instruction": "i1", "input": {"z": 1, "a": [1, 2]}, "output": "o"}, {"prompt": "p", "answer": 7}],
@@ -57,7 +57,8 @@ def test_training_features(spark):
 def test_enrichment_subset(spark, tmp_path, mode):
     items = [{"instruction": f"i{n % 30}", "z": n, "input": {"b": 1, "a": "é"}} for n in range(50)] + ["5", 5, None, None]
     path = write(f"{tmp_path}/in.json", json.dumps(items))
-    exports.enrichment_subset(spark, [path], f"{tmp_path}/out", 20, mode=mode, chunk_size=8, dedupe=True, lines=False)
+    manifest = exports.enrichment_subset(spark, [path], f"{tmp_path}/out", 20, mode=mode, chunk_size=8, dedupe=True)
+    assert {r.label: r.rows for r in manifest.collect()} == {"part001": 8, "part002": 8, "part003": 4}
     got = [json.loads(x) for x in read_lines(f"{tmp_path}/out")]
     unique = items[:30] + ["5", None]  # the number 5 has the text of the string "5"
     want = {"head": unique[:20], "stride": [unique[int(i * (32 / 20))] for i in range(20)]}
@@ -75,11 +76,15 @@ def test_enrichment_keeps_everything(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
-    path = write(f"{tmp_path}/d.json", json.dumps([{"instruction": "i", "input": "", "output": {"k": 1}}]))
-    exports.export_formats(spark, [path], "finance", f"{tmp_path}/d", lines=False)
-    assert json.loads(read_lines(f"{tmp_path}/d_alpaca")[0]) == {"instruction": "i", "input": "", "output": '{"k":1}'}
-    talk = json.loads(read_lines(f"{tmp_path}/d_sharegpt")[0])["conversations"]
-    assert [m["from"] for m in talk] == ["system", "human", "gpt"] and talk[2]["value"] == '{"k":1}'
+    items = [{"instruction": "i", "input": "", "output": {"k": 1, "a": [True]}}, {"instruction": {}, "input": " ", "output": 1.5}, {"instruction": " j ", "input": [1], "output": None}]
+    path = write(f"{tmp_path}/d.json", json.dumps(items))
+    exports.export_formats(spark, [path], "finance", f"{tmp_path}/d")
+    shown = json.dumps(items[0]["output"], indent=2)
+    alpaca = [json.loads(x) for x in read_lines(f"{tmp_path}/d_alpaca")]
+    assert [tuple(a.values()) for a in alpaca] == [("i", "", shown), ("{}", "", "1.5"), ("j", json.dumps([1], indent=2), "")]
+    talks = [json.loads(x)["conversations"] for x in read_lines(f"{tmp_path}/d_sharegpt")]
+    assert [m["from"] for m in talks[0]] == ["system", "human", "gpt"] and talks[0][2]["value"] == shown
+    assert ["Context / input data:" in t[1]["value"] for t in talks] == [False, True, True]
 
 
 def test_calibration_set(spark):

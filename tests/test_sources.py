@@ -38,15 +38,29 @@ def test_scan_rejects_what_is_no_array(spark, tmp_path):
             json_records.scan_arrays(spark, [write(f"{tmp_path}/bad.json", text)]).collect()
 
 
-def test_large_arrays_are_read_field_by_field(spark, tmp_path):
-    items = [{"instruction": f"i{i}", "output": {"n": i}, "other": 1} for i in range(50)]
-    path = write(f"{tmp_path}/l.json", json.dumps(items))
-    rows = json_records.scan_arrays(spark, [path], limit_bytes=10)
-    assert sorted((r.pos, json.loads(r.j)["output"]["n"]) for r in rows.select("pos", F.to_json("record").alias("j")).collect()) == [(i, i) for i in range(50)]
-    small = normalize(json_records.scan_arrays(spark, [path]), keep=("pos",))
-    assert normalize(rows, keep=("pos",)).exceptAll(small).isEmpty() and small.count() == 50
-    with pytest.raises(Exception):
-        json_records.scan_arrays(spark, [write(f"{tmp_path}/x.json", "[1, {}]")], limit_bytes=1).collect()
+def test_array_size_changes_nothing_but_an_error(spark, tmp_path):
+    item = {"instruction": "i", "extra": {"x": 1}, "id": 7, "input": None, "output": {"b": 1, "a": 1.5}}
+    path = write(f"{tmp_path}/l.json", json.dumps([item, "text", 5]))
+    rows = json_records.scan_arrays(spark, [path], keep_raw=True).orderBy("pos").select("raw", F.to_json("record").alias("j")).collect()
+    assert json.loads(rows[0].raw) == json.loads(rows[0].j) == item and [r.j for r in rows[1:]] == ['"text"', "5"]
+    with pytest.raises(Exception, match="JSON lines"):
+        json_records.scan_arrays(spark, [path], limit_bytes=10).collect()
+
+
+def test_array_above_one_variant(spark, tmp_path):
+    big = write(f"{tmp_path}/big.json", json.dumps([{"own": n, "instruction": "x" * 1_000_000} for n in range(140)]))
+    rows = json_records.scan_records(spark, [big]).select("pos", F.expr("record:own::int").alias("own"), F.expr("length(record:instruction::string)").alias("n"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(n, n, 1_000_000) for n in range(140)]
+
+
+def test_arrays_and_lines_are_told_apart(spark, tmp_path):
+    files = [
+        write(f"{tmp_path}/a.json", " \n" + json.dumps([{"prompt": f"a{n}"} for n in range(3)])),
+        write(f"{tmp_path}/b.jsonl", "\n".join(json.dumps({"prompt": f"b{n}"}) for n in range(2))),
+        write(f"{tmp_path}/e.json", ""),
+    ]
+    rows = json_records.in_file_order(spark, json_records.scan_records(spark, files), files).orderBy("id")
+    assert [r.p for r in rows.select(F.expr("record:prompt::string").alias("p")).collect()] == ["a0", "a1", "a2", "b0", "b1"]
 
 
 def test_scan_lines(spark, tmp_path):
