@@ -24,12 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import staged, whole
 
-CAPACITY, END, CACHE = 4096, 1, 500_000
+CAPACITY, END, CACHE = 4096, 1, 1_000_000
+#: Characters that are encoded at once, about; a longer text by itself.
+SLICE = 6_000_000
 #: Documents of one length that are ranked in one task, about.
 RANKED = 20_000
 #: White space to Python, but not to the tokenizer.
@@ -45,7 +49,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+        #: Ids of words, and of those asked for before the cache turned.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[-1]
 
     def _learn(self, words: list[str]) -> None:
@@ -72,21 +78,43 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
                 yield e.ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The vocabulary's pattern never joins what white space parts, nor does its normaliser; it also cuts letters from marks."""
-        split = [_lowered(t).split() if not any(c in t for c in ODD_SPACE) else re.split("[ \t\n\r]+", t) for t in texts]
-        known, words = self.known, set().union(*split)
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE:  # what these texts use stays
-            for w in known.keys() - words - {",", "."}:
-                del known[w]
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Of distinct words; what has been asked for since the last two turns of the cache is known."""
+        if len(self.known) > CACHE // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        held = list(map(known.get, words))
+        new = {w for w, h in zip(words, held, strict=True) if h is None}
+        back = new & before.keys()
+        known.update((w, before[w]) for w in back)
+        new -= back
         # Most new words are letters and one mark; the letters are looked up or learned by themselves.
-        marked = {w for w in new if w[-1] in ",." and _letters(w[:-1])}
+        marked = {w for w in new if w and w[-1] in ",." and _letters(w[:-1])}
         bare = {w[:-1] for w in marked}
         self._learn([w for w in (new - marked) | bare | {",", "."} if w not in known])
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
-        return [b"".join(map(known.__getitem__, some)) for some in split]
+        return [known[w] if h is None else h for w, h in zip(words, held, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The vocabulary's pattern never joins what white space parts, nor does its normaliser; it also cuts letters from marks."""
+        out, sizes = [], np.cumsum([len(t) for t in texts], dtype=np.int64) // SLICE
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+            out += self._encode([texts[i] for i in part])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Each distinct word is looked up once, and its ids copied to wherever it stands."""
+        low = [_lowered(t) for t in texts]
+        if any(c in t for t in low for c in ODD_SPACE):
+            split = pa.array([re.split("[ \t\n\r]+", t) for t in low], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(pa.array(low, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), ids.buffers()[2]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [data[lo:hi].to_pybytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 def _lowered(text: str) -> str:
