@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fresh, whole
+from tallyloom.llm.common import alone, fresh, whole
 
 ORDER, SAMPLE, ALPHABET = 5, 1_500, 1_000
 #: Of the sample, every CALIBRATE-th document only calibrates; DEVIATIONS above the mean are rejected.
@@ -210,23 +210,13 @@ def identified(docs: DataFrame, models: Models | None) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = _reader(held.value)
+        reader = alone(held.value, lambda: Reader(held.value))
         for texts in batches:
             yield reader.read(texts.tolist())
 
     return F.pandas_udf(read, RESULT)(whole(F.col("text")))
 
 
-_last: list[Reader] = []
-
-
-def _reader(models: Models) -> Reader:
-    """The reader that this Python process had last, or a new one in its place."""
-    if not _last or _last[0].models is not models:
-        _last[:] = [Reader(models)]
-    return _last[0]
-
-
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score, rejected."""
     rows = docs.select("doc_id", "text")

@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import staged, whole
+from tallyloom.llm.common import alone, staged, whole
 
-CAPACITY, END, CACHE = 4096, 1, 1_000_000
+CAPACITY, END, CACHE = 4096, 1, 800_000
 #: Characters that are encoded at once, about; a longer text by itself.
-SLICE = 6_000_000
+SLICE = 4_000_000
 #: Documents of one length that are ranked in one task, about.
 RANKED = 20_000
 #: White space to Python, but not to the tokenizer.
@@ -133,15 +133,12 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0370" and word.lower().isalpha()))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32; a document's ids are followed by `end`."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = alone(("packing", tokenizer), lambda: Encoder(tokenizer))
         for b in batches:
             rows = []
             for doc, ids in zip(b["doc_id"], encoder.encode(b["text"].tolist()), strict=True):

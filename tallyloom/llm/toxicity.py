@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fresh, whole
+from tallyloom.llm.common import alone, fresh, whole
 
 SAMPLE, TEXT_WINDOWS, KEPT_OUT = 1_500, 64, 5
 WINDOW, STRIDE = 40, 28
@@ -336,23 +336,13 @@ def scored(docs: DataFrame, network: Network | None) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(network)
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = _reader(held.value)
+        reader = alone(held.value, lambda: Reader(held.value))
         for texts in batches:
             yield pd.Series(reader.scores(texts.tolist()))
 
     return F.pandas_udf(read, "double")(whole(F.col("text")))
 
 
-_last: list[Reader] = []
-
-
-def _reader(network: Network) -> Reader:
-    """The reader that this Python process had last, or a new one in its place."""
-    if not _last or _last[0].net is not network:
-        _last[:] = [Reader(network)]
-    return _last[0]
-
-
 def judge(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score, predicted."""
     rows = docs.select("doc_id", "text")
