@@ -50,6 +50,13 @@ def alone(key: object, make: Callable[[], T]) -> T:
     return _held[key]
 
 
+def slices(texts: list[str], chars: int = 1_500_000) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters, so that their words take bounded memory; a longer text comes by itself."""
+    sizes = np.cumsum([len(t) for t in texts], dtype=np.int64) // chars
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+        yield [texts[i] for i in part]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

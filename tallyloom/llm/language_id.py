@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import alone, fresh, whole
+from tallyloom.llm.common import alone, fresh, slices, whole
 
 ORDER, SAMPLE, ALPHABET = 5, 1_500, 1_000
 #: Of the sample, every CALIBRATE-th document only calibrates; DEVIATIONS above the mean are rejected.
@@ -154,6 +154,9 @@ class Reader:
         self.models, self.place, self.rows = models, {}, np.zeros((0, len(models.langs) + 1), np.float32)
 
     def read(self, texts: list[str]) -> pd.DataFrame:
+        return pd.concat([self._read(some) for some in slices(texts)], ignore_index=True)
+
+    def _read(self, texts: list[str]) -> pd.DataFrame:
         split = [WORDS.findall(t.lower()) for t in texts]
         new = list({w for words in split for w in words if w not in self.place})
         if len(self.place) + len(new) > CACHE:

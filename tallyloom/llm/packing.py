@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import alone, staged, whole
+from tallyloom.llm.common import alone, slices, staged, whole
 
 CAPACITY, END, CACHE = 4096, 1, 800_000
 #: Characters that are encoded at once, about; a longer text by itself.
@@ -98,10 +98,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The vocabulary's pattern never joins what white space parts, nor does its normaliser; it also cuts letters from marks."""
-        out, sizes = [], np.cumsum([len(t) for t in texts], dtype=np.int64) // SLICE
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
-            out += self._encode([texts[i] for i in part])
-        return out
+        return [ids for some in slices(texts, SLICE) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Each distinct word is looked up once, and its ids copied to wherever it stands."""

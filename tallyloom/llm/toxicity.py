@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import alone, fresh, whole
+from tallyloom.llm.common import alone, fresh, slices, whole
 
 SAMPLE, TEXT_WINDOWS, KEPT_OUT = 1_500, 64, 5
 WINDOW, STRIDE = 40, 28
@@ -251,6 +251,9 @@ class Reader:
         return out, text
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._scores(some) for some in slices(texts)])
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         logits, of = self.logits([WORDS.findall(t.lower()) for t in texts])
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, of, logits)
