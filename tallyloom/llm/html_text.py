@@ -5,8 +5,9 @@ and scripts, styles, forms and other parts that never hold article text leave an
 elements whose class, id or role says menu, header, footer, sidebar, notice, advert or reader comments).
 The weight of a line is its text without links. Over windows of WINDOW lines the weights are summed:
 where the sum reaches SURGE the text surges, where it falls back to the weight of an empty window it dives,
-and the lines between are kept. Lines inside an article or main element, where a page has one, weigh as
-surging however short they are, and others are left out then. If nothing surges, the lines with text that is no link are kept.
+and the lines between are kept, on every page. Lines with text inside an article or main element weigh SURGE / 2 more,
+unless the lines outside have more text than those inside: then the element is a teaser and adds nothing. It never
+takes weight from other lines. If nothing surges, the lines with text that is no link are kept.
 
 Null or empty html, and pages without such a line, give an empty text. Character references are decoded once,
 also those without a semicolon that HTML knows. White space inside a block becomes one space. Unclosed
@@ -136,9 +137,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str) -> str:
     told = lines(page)
-    if any(inside and weight for _, weight, inside in told):
-        told = [(text, max(weight, SURGE) if inside and text else 0, inside) for text, weight, inside in told]
-    weights = [w for _, w, _ in told]
+    tagged = sum(weight for _, weight, inside in told if inside)
+    more = SURGE // 2 if 2 * tagged >= sum(weight for _, weight, _ in told) else 0
+    weights = [weight + more * (inside and text != "") for text, weight, inside in told]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     keep, inside = [], False
     for i, total in enumerate(sums):

@@ -347,6 +347,27 @@ def test_html_text(html, want):
     assert html_text.main_text(html or "") == want
 
 
+TEASER = "<article><h3><a href='/next'>Next one</a></h3><p>Read on.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # Main text in plain divs and a teaser in an article, after or before it.
+        (page(f"<div><p>{LONG}</p><p>And so on.</p><p>{LONG}</p></div>{TEASER}"), f"{LONG.strip()}\nAnd so on.\n{LONG.strip()}"),
+        (page(f"{TEASER}<div><p>{LONG}</p><p>{LONG}</p></div>"), f"{LONG.strip()}\n{LONG.strip()}"),
+        # Text outside the article surges by itself; short lines do not.
+        (page(f"<article><p>{LONG}</p><p>{LONG}</p></article><div></div><div><p>{LONG}</p></div><div></div><div></div><p>Bye.</p>"), "\n".join([LONG.strip()] * 3)),
+        # A headline that is a link weighs by the tag alone.
+        (page(f"<article><h1><a href='/a'>Head</a></h1><p>{LONG}</p></article>"), f"Head\n{LONG.strip()}"),
+        # No article at all: a menu of links dives.
+        (page(f"<p>{LONG}</p><div></div><ul><li><a href='/a'>{LONG}</a></li><li><a href='/b'>{LONG}</a></li></ul>"), LONG.strip()),
+    ],
+)
+def test_html_lines_decide_beside_an_article(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_text_of_rows(spark):
     rows = [(1, "u", page(f"<article><p>{LONG}{html_module.escape('<x>')}</p></article>"), "t"), (1, None, None, "t"), (None, "u", "", "t")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
