@@ -5,13 +5,14 @@ times c(w) / N, else BACKOFF^3 / max(N, 1); a document's score is the sum of the
 all other documents: a document's own occurrences are taken off, else every n-gram would be known.
 
 1. Documents are dealt into buckets by hash, and each bucket's distinct n-grams of 0 to 3 words (the one of no
-   word counts all words) become packets, one for each hash partition: sorted 40-bit keys, which with the
-   partition make a 64-bit hash, as differences, and how often the bucket has them.
+   word counts all words) become packets, one for each hash partition: their 64-bit hashes, sorted, as differences
+   from the partition's first possible hash on, and how often the bucket has them.
 2. A hash partition holds its part of the count tables: packets are joined on the key, counts summed,
    and each packet goes back to its bucket with the sums in the place of its own counts.
 3. A bucket's documents, from the same exchange as in 1, meet the returned packets; scores are summed per document.
 
-An n-gram costs one entry per bucket however often it occurs, so common ones are no hot keys. Nothing is dropped
+An n-gram is known by its 64-bit hash, however many partitions there are: of n distinct n-grams, n^2 / 2^65 pairs
+are expected to share one, 0.1 for 2e9 n-grams. An n-gram costs one entry per bucket however often it occurs, so common ones are no hot keys. Nothing is dropped
 or capped: counts of any size are kept. Work per task is that of a bucket or partition; their number is
 spark.sql.shuffle.partitions and grows with the data.
 
@@ -22,6 +23,7 @@ Repeated rows are documents of their own. A null id is kept.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ BACKOFF, CACHE = 0.4, 300_000
 #: Buckets of documents for each hash partition; a task holds one at a time.
 BUCKETS = 4
 WORDS = re.compile(r"\w+")
-#: Low bits of a hash choose the partition, the others are the key in it.
-LOW = 24
+#: High bits of a hash choose the partition, so hashes in order are in order of partitions too.
+HIGH = 24
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -56,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a bucket: distinct ones in order of (partition, key), and for each word of each document where they are."""
+    """The n-grams of a bucket: distinct ones in order of their hashes, and for each word of each document where they are."""
 
     def __init__(self, texts: list[str], partitions: int):
         if len(_hashes) > CACHE:
@@ -73,12 +75,10 @@ class Grams:
         two = _mixed(one[s - 1] * ODD[0] + one[s] * ODD[1] + np.uint64(2))
         three = _mixed(one[t - 2] * ODD[0] + one[t - 1] * ODD[1] + one[t] * ODD[2] + np.uint64(3))
         every = np.concatenate([np.zeros(1, np.uint64), _mixed(one + np.uint64(1)), two, three])
-        low = every & np.uint64((1 << LOW) - 1)
-        part = (low * np.uint64(partitions)) >> np.uint64(LOW)
-        order = (part << np.uint64(64 - LOW)) | (every >> np.uint64(LOW))
-        self.keys, self.at, self.own = np.unique(order, return_inverse=True, return_counts=True)
+        self.keys, self.at, self.own = np.unique(every, return_inverse=True, return_counts=True)
         self.own[self.at[0]] = self.n
-        self.cuts = np.searchsorted(self.keys, np.arange(partitions + 1).astype(np.uint64) << np.uint64(64 - LOW))
+        self.starts = np.array([-(-(p << HIGH) // partitions) << (64 - HIGH) for p in range(partitions)], np.uint64)
+        self.cuts = np.append(np.searchsorted(self.keys, self.starts), len(self.keys))
 
     def scores(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """counts: of all documents, for the distinct n-grams in order -> per document: words, log-score."""
@@ -102,29 +102,37 @@ class Grams:
         return self.sizes, np.bincount(self.doc, out, docs)
 
 
+def _coded(data: bytes, strategy: int) -> bytes:
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, strategy)
+    return coder.compress(data) + coder.flush()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Rising keys as differences, byte by byte of all of them; 4 bytes each where that is enough, else 8."""
+    """Rising keys as differences in as few bytes as the largest takes, byte by byte of all of them; the high bytes in Huffman code."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    width = 4 if not len(steps) or int(steps.max()) < 1 << 32 else 8
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    width = max((int(steps.max()).bit_length() + 7) // 8, 1) if len(steps) else 1
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(keys).to_bytes(8, "little") + planes[:-1].tobytes() + _coded(planes[-1].tobytes(), zlib.Z_HUFFMAN_ONLY)
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    low = (width - 1) * n
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : width - 1] = np.frombuffer(data, np.uint8, low, 9).reshape(width - 1, n).T
+    steps[:, width - 1] = np.frombuffer(zlib.decompress(data[9 + low :], -15), np.uint8)
     return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each; 255 for those whose 8 bytes follow at the end."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """A byte each, in Huffman code; 255 for those whose 8 bytes follow at the end."""
+    return _coded(np.minimum(counts, 255).astype(np.uint8).tobytes(), zlib.Z_RLE) + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    coder = zlib.decompressobj(-15)
+    counts = np.frombuffer(coder.decompress(data), np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(coder.unused_data, "<i8")
     return counts
 
 
@@ -133,8 +141,7 @@ def _packets(partitions: int):
         for part, starts, ends in whole_keys(batches):
             for lo, hi in zip(starts, ends, strict=True):
                 g = Grams(part["text"].iloc[lo:hi].tolist(), partitions)
-                mask = np.uint64((1 << (64 - LOW)) - 1)
-                rows = [(part["key"].iloc[lo], p, b - a, pack_keys(g.keys[a:b] & mask), pack_counts(g.own[a:b])) for p, (a, b) in enumerate(zip(g.cuts, g.cuts[1:], strict=False)) if b > a]
+                rows = [(part["key"].iloc[lo], p, b - a, pack_keys(g.keys[a:b] - g.starts[p]), pack_counts(g.own[a:b])) for p, (a, b) in enumerate(zip(g.cuts, g.cuts[1:], strict=False)) if b > a]
                 yield pd.DataFrame(rows, columns=["bucket", "part", "n", "keys", "counts"])
 
     return run

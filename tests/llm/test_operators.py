@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -113,6 +114,35 @@ def test_packed_keys_and_counts():
     assert (ngram_scoring.unpack_counts(ngram_scoring.pack_counts(counts), 5) == counts).all()
 
 
+def test_ngrams_that_differ_in_low_bits_only():
+    """Two words whose hashes share 63 bits keep counts of their own, in one bucket or two, for any number of partitions."""
+
+    def word_hash(wanted):  # the word hash of which the n-gram hash is the wanted one
+        x = wanted ^ (wanted >> 29) ^ (wanted >> 58)
+        x = x * pow(int(ngram_scoring.ODD[1]), -1, 1 << 64) % (1 << 64)
+        return (x ^ (x >> 31) ^ (x >> 62)) - 1
+
+    first = 0x9E3779B97F4A7C14
+    told = dict(zip(("twina", "twinb"), map(word_hash, (first, first + 1)), strict=True))
+    ngram_scoring._hashes.update(told)
+    try:
+        texts = ["twina twina twina", "twina", "twinb"]
+        for partitions in (1, 3, 8):
+            frame = pd.DataFrame({"key": [0, 0, 1], "doc_id": [0, 1, 2], "text": texts})
+            packets = pd.concat(ngram_scoring._packets(partitions)(iter([frame]))).sort_values("part", kind="stable")
+            sums = pd.concat(ngram_scoring._summed(iter([packets]))).sort_values("part", kind="stable")
+            grams = ngram_scoring.Grams(texts[2:], partitions)
+            own = sums[sums["bucket"] == 1]
+            counts = np.concatenate([ngram_scoring.unpack_counts(c, n) for c, n in zip(own["sums"], own["n"], strict=True)])
+            assert counts.tolist() == [5, 1]
+            _, logs = grams.scores(counts)
+            assert logs[0] == pytest.approx(3 * math.log(0.4) - math.log(4))  # no other document has the word
+            assert len(ngram_scoring.Grams(["twina", "twinb"], partitions).keys) == 3
+    finally:
+        for w in told:
+            del ngram_scoring._hashes[w]
+
+
 def test_toxicity_learns_and_takes_odd_rows(spark, odd):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(80)]
