@@ -130,3 +130,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _own_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         root = _own_roots[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def date_in_order(spark: SparkSession, path: str) -> None:
+    """Give a written table's files modification times in the order of their names, in which a file stream reads them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = lambda: sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    files = listed()
+    first = max((f.getModificationTime() for f in files), default=0) - 1000 * len(files)
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)
+    times = [f.getModificationTime() for f in listed()]
+    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
+        raise ValueError(f"{path}: its file system keeps no modification times, so its files have no order")

@@ -107,3 +107,29 @@ def test_rolling_progress(spark, tmp_path):
     q.awaitTermination()
     got = {r.run_id: (r.step, r.pct) for r in spark.table("prog").collect()}
     assert got == {r.run_id: (r.n, 100.0) for r in log_rows.groupBy("run_id").agg(F.max("step").alias("n")).collect()}
+
+
+def test_registered_streams_over_many_triggers(spark, monkeypatch):
+    """More files than a trigger takes: closed and open days hold every request, and requests and aborts are those of one batch."""
+    from tallyloom.plans import queries
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    reqs = views.requests(spark, SF).withColumn("ts", F.timestamp_micros("micros"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        closed, still_open, late = queries._summary_tables(reqs.repartition(20), files_per_trigger=4)
+        days = lambda df: {(r[0], r[1]): r[2] for r in df.select("window_start", "level", "requests_total").collect()}
+        told = {**days(closed), **days(still_open)}
+        want = reqs.groupBy(F.unix_micros(F.date_trunc("day", "ts")), "level").count()
+        assert late == 0 and told == {(r[0], r[1]): r[2] for r in want.collect()}
+        assert not still_open.isEmpty() and not set(days(closed)) & set(days(still_open))
+        as_stream = queries._as_stream
+        each = lambda n: monkeypatch.setattr(queries, "_as_stream", lambda df, purpose, files_per_trigger=n, time=None: as_stream(df, purpose, n, time))
+        each(100_000)
+        want = sorted(queries.stream_aborts(spark, SF).collect())
+        each(4)
+        assert want and sorted(queries.stream_aborts(spark, SF).collect()) == want
+        got, want = queries.stream_requests(spark, SF), queries.request_metrics(spark, SF)
+        assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
