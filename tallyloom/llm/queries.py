@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, embedding_dedup, fingerprints, html_text, language_id, ngram_scoring, packing, simhash, toxicity, url_rules
+from tallyloom.llm import bpe, centroid_clustering, embedding_dedup, fingerprints, html_text, language_id, lexical_search, license_scan, ngram_scoring, packing, simhash, toxicity, url_rules
+from tallyloom.llm import oracle
 from tallyloom.llm.common import remainder, table
 
 #: host, path, verdict
@@ -78,8 +79,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_ngram_scoring, op3_toxicity, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_html_text, op9_url_rules, op10_fingerprints)
+    f.__name__: f for f in (op1_embedding_dedup, op2_ngram_scoring, op3_toxicity, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_html_text, op9_url_rules, op10_fingerprints, op11_license_scan, op12_lexical_search, op13_centroid_clustering)
 }
 
 ORACLES: dict[str, str] = {
@@ -94,4 +107,7 @@ ORACLES: dict[str, str] = {
                    row_number() over (partition by page_id, host, path order by length(rule_host || rule_path) desc, length(rule_host) desc) as place
             from parts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
         select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from fits where place = 1""",
+    "op11_license_scan": oracle.license_scan(),
+    "op12_lexical_search": oracle.lexical_search(),
+    "op13_centroid_clustering": oracle.centroid_clustering(),
 }
