@@ -177,18 +177,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(_fingerprint_batches, "long")(whole(F.col("text"))).alias("fp"))
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """prints(fp, id) -> fp and the smallest id reachable from it, for all that have an id."""
+    codes = staged(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
+    groups = components(links(codes))
+    return codes.join(groups, codes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = staged(fingerprints(docs))
-    codes = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    groups = components(links(codes))
-    named = codes.join(groups, codes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    named = _components(prints.withColumnRenamed("doc_id", "id"))
     return prints.join(named, "fp", "left").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the columns it has: the row of the smallest doc_id of each component; rows without id stay."""
-    keep = classes(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    mark = fresh(docs, "kept_id")
-    kept = docs.join(keep.withColumnRenamed("doc_id", mark), F.col("doc_id") == F.col(mark)).drop(mark)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs with the columns it has: one row of each component of near copies, that of the smallest doc_id.
+
+    Rows are what is compared, whatever their ids: where an id repeats with other texts, each text is in its own
+    component; of rows of one id in one component that of the smallest text hash stays, and rows without an id
+    count as copies of those with one.
+    """
+    mark = fresh(docs, "text_hash")
+    text = whole(F.col("text"))
+    prints = staged(docs.select("doc_id", F.pandas_udf(_fingerprint_batches, "long")(text).alias("fp"), F.xxhash64(text).alias("hash")))
+    # Fingerprints are the nodes, so that an id that repeats ties nothing together.
+    nodes = _components(prints.select("fp", F.col("fp").alias("id")).distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    # The first row of each fingerprint, then of each component: large groups of copies are collapsed before the join.
+    first = prints.groupBy("fp").agg(F.min(order).alias("row")).join(nodes, "fp").groupBy("component_id").agg(F.min("row").alias("row"))
+    chosen = first.select(F.col("row.hash").alias(mark), F.col("row.doc_id").alias("kept_id"))
+    marked = docs.withColumn(mark, F.xxhash64(text)).alias("d")
+    kept = marked.join(chosen.alias("c"), (F.col(f"d.{mark}") == F.col(f"c.{mark}")) & F.col("d.doc_id").eqNullSafe(F.col("c.kept_id"))).select("d.*")
+    # Whole repeats of the chosen row are told apart by nothing: one of them stays.
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
