@@ -131,7 +131,9 @@ def fingerprints(docs: DataFrame, tail_share: int = 4) -> DataFrame:
     cut = (size / tail_share).cast("int")
     both = both.select("doc_id", "text", "after", size.cast("long").alias("n_chars"), (size - cut).alias("kept"), F.substring(F.col("after"), F.lit(1), cut).alias("tail"))
     both = both.withColumn("edited_sha256", F.sha2(F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), F.col("tail")).cast("binary"), 256))
-    return both.mapInPandas(_fingerprint_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    both = both.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text an id keeps all its digits beside null ones
+    told = both.mapInPandas(_fingerprint_rows, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return told.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -143,11 +143,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     rows.append((doc, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # As text an id keeps all its digits beside null ones.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole(F.col("text")).alias("text"))
+    cut = rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return cut.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Supersteps:
