@@ -4,20 +4,23 @@ A word's score is c(u v w) / c(u v) if the trigram occurs, else BACKOFF times c(
 times c(w) / N, else BACKOFF^3 / max(N, 1); a document's score is the sum of the logarithms. Counts are those of
 all other documents: a document's own occurrences are taken off, else every n-gram would be known.
 
-1. Documents are dealt into buckets by hash, and each bucket's distinct n-grams of 0 to 3 words (the one of no
-   word counts all words) become packets, one for each hash partition: their 64-bit hashes, sorted, as differences
-   from the partition's first possible hash on, and how often the bucket has them.
+1. Documents are dealt into buckets by hash, in compressed blocks of texts, and each bucket's distinct n-grams of 0 to 3
+   words (the one of no word counts all words) become packets, one for each hash partition: their 64-bit hashes, sorted,
+   as differences from the partition's first possible hash on, and how often the bucket has them.
 2. A hash partition holds its part of the count tables: packets are joined on the key, counts summed,
    and each packet goes back to its bucket with the sums in the place of its own counts.
 3. A bucket's documents, from the same exchange as in 1, meet the returned packets; scores are summed per document.
 
+The count tables are thus rows of many n-grams each, not one row an n-gram, which would take some 10 x the input.
+
 An n-gram is known by its 64-bit hash, however many partitions there are: of n distinct n-grams, n^2 / 2^65 pairs
 are expected to share one, 0.1 for 2e9 n-grams. An n-gram costs one entry per bucket however often it occurs, so common ones are no hot keys. Nothing is dropped
-or capped: counts of any size are kept. Work per task is that of a bucket or partition; their number is
-spark.sql.shuffle.partitions and grows with the data.
+or capped: counts of any size are kept. Work and memory of a task are those of a bucket or partition: their number is
+spark.sql.shuffle.partitions, or more where a partition would hold the n-grams of over `PART_BYTES` of text. Packets are
+at most as many as the buckets' n-grams, so they never are more rows than one an n-gram.
 
 Words are runs of letters, digits and underscores in lower case. Null and empty texts have no words, log_score 0 and mean_log null.
-Repeated rows are documents of their own. A null id is kept.
+Repeated rows are documents of their own. A null id is kept; ids pass through Python as text, so they keep all their digits.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,11 @@ from tallyloom.llm.common import whole, whole_keys
 BACKOFF, CACHE = 0.4, 300_000
 #: Buckets of documents for each hash partition; a task holds one at a time.
 BUCKETS = 4
+#: Bytes of text for each hash partition.
+PART_BYTES = 16_000_000
+#: Bytes of text that a task deals out at once.
+DEAL_BYTES = 64_000_000
+DEALT = "key int, ids array<string>, sizes array<int>, block binary"
 WORDS = re.compile(r"\w+")
 #: High bits of a hash choose the partition, so hashes in order are in order of partitions too.
 HIGH = 24
@@ -136,11 +146,50 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, text in bytes) -> one row for each key of some MB: its ids, the texts' sizes, the texts compressed together."""
+    held: list[pa.RecordBatch] = []
+
+    def blocks() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        ids, texts, keys = rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(0).to_numpy()
+        order = np.argsort(keys, kind="stable")
+        coder, out = zstandard.ZstdCompressor(level=3), []
+        for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            own = [texts[i] for i in part]
+            out.append((int(keys[part[0]]), [ids[i] for i in part], [len(t) for t in own], coder.compress(b"".join(own))))
+        kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "ids", "sizes", "block"])
+
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= DEAL_BYTES:
+            yield blocks()
+            size = 0
+    if held:
+        yield blocks()
+
+
+def _texts(rows: pd.DataFrame) -> list[str]:
+    """The texts of a bucket's blocks, in order."""
+    out: list[str] = []
+    for sizes, block in zip(rows["sizes"], rows["block"], strict=True):
+        ends = np.cumsum(sizes)
+        data = zstandard.ZstdDecompressor().decompress(block, max_output_size=int(ends[-1]))
+        out += [data[e - n : e].decode("utf-8", "replace") for e, n in zip(ends.tolist(), sizes, strict=True)]
+    return out
+
+
 def _packets(partitions: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, starts, ends in whole_keys(batches):
             for lo, hi in zip(starts, ends, strict=True):
-                g = Grams(part["text"].iloc[lo:hi].tolist(), partitions)
+                g = Grams(_texts(part.iloc[lo:hi]), partitions)
                 rows = [(part["key"].iloc[lo], p, b - a, pack_keys(g.keys[a:b] - g.starts[p]), pack_counts(g.own[a:b])) for p, (a, b) in enumerate(zip(g.cuts, g.cuts[1:], strict=False)) if b > a]
                 yield pd.DataFrame(rows, columns=["bucket", "part", "n", "keys", "counts"])
 
@@ -162,19 +211,24 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, log_score, mean_log."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    dealt = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS * partitions)).cast("int")).repartition(partitions, "key")
+    given = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(given, -(-size // PART_BYTES))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS * partitions)).cast("int")
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("string").alias("id"), whole(F.col("text")).cast("binary").alias("text"))
+    dealt = rows.mapInArrow(_dealt, DEALT).repartition(partitions, "key")
     packets = dealt.sortWithinPartitions("key").mapInPandas(_packets(partitions), "bucket int, part int, n long, keys binary, counts binary")
     sums = packets.repartition(partitions, "part").sortWithinPartitions("part").mapInPandas(_summed, "bucket int, part int, n long, sums binary")
 
-    def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        g = Grams(texts["text"].tolist(), partitions)
+    def score(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        g = Grams(_texts(blocks), partitions)
         told = told.sort_values("part")
         counts = np.concatenate([unpack_counts(s, n) for s, n in zip(told["sums"], told["n"], strict=True)])
         words, logs = g.scores(counts)
+        ids = [i for some in blocks["ids"] for i in some]
         with np.errstate(invalid="ignore", divide="ignore"):
-            return pd.DataFrame({"doc_id": texts["doc_id"], "n_words": words, "log_score": logs, "mean_log": pd.Series(logs / words, index=texts.index).where(words > 0)})
+            return pd.DataFrame({"id": pd.Series(ids, dtype=object), "n_words": words, "log_score": logs, "mean_log": pd.Series(logs / words).where(words > 0)})
 
     both = dealt.groupBy("key").cogroup(sums.repartition(partitions, "bucket").withColumnRenamed("bucket", "key").groupBy("key"))
-    return both.applyInPandas(score, "doc_id long, n_words long, log_score double, mean_log double")
+    told = both.applyInPandas(score, "id string, n_words long, log_score double, mean_log double")
+    return told.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "log_score", "mean_log")
