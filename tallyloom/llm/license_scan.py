@@ -30,6 +30,8 @@ from tallyloom.llm.common import staged, whole
 
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Notices' prefixes with up to so many words in all are broadcast.
+BROADCAST_WORDS = 1_000_000
 #: What stands between words, A-Z being in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -112,6 +114,8 @@ def _matches(scanned: DataFrame, notices: list[tuple[str, list[str]]], vocabular
         ranked, need = sorted(words, key=place.__getitem__), needed(len(words), threshold)
         prefixes += [(word, i, number, label, ranked, need) for i, word in enumerate(ranked[: len(ranked) - need + 1])]
     index = spark.createDataFrame(prefixes, "word string, i int, notice int, label string, words array<string>, need int")
+    if sum(len(p[4]) for p in prefixes) <= BROADCAST_WORDS:
+        index = F.broadcast(index)  # the blocks are then not shuffled
     least = min(needed(len(words), threshold) for _, words in notices)
     blocks = scanned.select("key", F.posexplode("blocks").alias("block", "b"))
     # The intersection keeps the order of its first array, the global one.
