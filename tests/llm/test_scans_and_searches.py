@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from oracle_check import difference, duck
 
-from tallyloom.llm import centroid_clustering, fingerprints, lexical_search, license_scan, ngram_scoring, packing, simhash
+from tallyloom.llm import centroid_clustering, fingerprints, html_text, lexical_search, license_scan, ngram_scoring, packing, simhash
 from tallyloom.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -217,3 +217,37 @@ def test_one_of_each_where_ids_repeat(spark):
     rows = [(1, copies, "x"), (1, other, "y"), (2, copies, "z"), (None, other, "n"), (None, "third text with no id at all", "m"), (2, copies, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
     assert sorted((str(r["doc_id"]), r["text_hash"]) for r in simhash.one_of_each(df).collect()) == [("1", "x"), ("1", "y"), ("None", "m")]
+
+
+# --- html --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "entry-header", "article-body social-share-enabled", "content with-comments", "page-header-fixed", "sidebar"])
+def test_a_wrapper_whatever_its_name_keeps_its_text(name):
+    """Names that only hold a word of a list mean nothing, and one that means it is a wrapper if all text is inside."""
+    words = "word " * 30
+    page = f'<body><div class="{name}"><h1>A title</h1><p>{words}</p><p>{words}</p></div></body>'
+    assert html_text.main_text(page) == "\n".join(["A title", words.strip(), words.strip()])
+
+
+def test_marked_parts_have_no_weight_beside_a_text():
+    words, other = "word " * 60, "other " * 40
+    page = f'<body><ul class="site-menu"><li>{other}</li></ul><article><p>{words}</p><div class="comment-list"><p>{other}</p></div></article><div id="leftSidebar">{other}</div></body>'
+    assert html_text.main_text(page) == words.strip()
+
+
+def test_menus_without_marks_do_not_surge():
+    words = "word " * 60
+    menu = "<ul>" + "<li><a href='/x'>short</a></li>" * 8 + "</ul>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{words}</p></div>{menu}</body>") == words.strip()
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.main_text("<div>" * n + "<p>x</p>" * n + "</b></div>" * n)
+        return time.perf_counter() - start
+
+    assert seconds(16000) < 12 * max(seconds(4000), 0.05)
