@@ -88,6 +88,8 @@ CHATML_CLOSE = "<|im_end|>"
 IGNORE_LABEL = -100
 MAX_LENGTH = 512
 PAD_MULTIPLE = 8
+#: Batches that are sorted by length together.
+MEGA_BATCHES = 50
 EFFECTIVE_BATCH = 16
 CALIBRATION_ROWS = 2048
 CALIBRATION_LENGTH = 2048

@@ -31,14 +31,21 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 
 def spread_join(
-    rows: DataFrame, table: DataFrame, keys: list[str], spread: str, how: str = "inner", hot_rows: int = HOT_ROWS
+    rows: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    spread: str,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a table with one row per key; rows of a hot key go to several tasks.
 
     A hot key's rows are dealt out by the hash of the ``spread`` column and its
-    table row is repeated once per part.
+    table row is repeated once per part. ``counted`` are the rows to count keys
+    in, where ``rows`` are dear to make and come from these.
     """
-    hot = hot_keys(rows, keys, hot_rows)
+    hot = hot_keys(rows if counted is None else counted, keys, hot_rows)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = null_safe_join(rows, hot, keys, "left").withColumn(
         "__part", F.pmod(F.xxhash64(spread), parts).cast("int")

@@ -1,33 +1,45 @@
-"""Exact order statistics per group, with no group sorted as a whole.
-
-Approximate quantiles (mergeable, computed map-side) only choose cut points.
-Exact counts between the cut points then say which interval holds the wanted
-rank, and only the values of that interval - about 0.1 % of the rows - are
-shuffled, counted per distinct value and ranked. A poor cut point makes an
-interval larger; it never makes the answer wrong.
+"""Exact order statistics per group in one lazy plan, with no group sorted as a whole.
+
+Values are counted once (equal values collapse map-side). A histogram over an
+order-preserving bucket of the value, some 11,000 for each factor of two, says
+in which bucket a wanted rank lies; only that bucket's distinct values are
+ranked. The counts are one exchange that both steps read, spread by value, so a
+group with most rows of the table loads no task; histograms are merged from
+partial counts.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.operators.joins import lookup_join, null_safe_join, stage
+from tallyloom.operators.joins import null_safe_join
 
-ACCURACY = 10_000
-MARGIN = 2.0 / ACCURACY
+#: Buckets for each factor e of the value.
+FINENESS = 16_384
+#: Above all buckets of finite values.
+INFINITE, NOT_A_NUMBER = 2**40, 2**41
 
-#: (approximate quantile, 0-based rank as a function of the group size)
-Rank = tuple[float, Callable[[Column], Column]]
+#: 0-based rank as a function of the group size
+Rank = Callable[[Column], Column]
 
 MEDIAN: dict[str, Rank] = {
-    "lo": (0.5, lambda n: F.floor((n - 1) / 2)),
-    "hi": (0.5, lambda n: F.floor(n / 2)),
+    "lo": lambda n: F.floor((n - 1) / 2),
+    "hi": lambda n: F.floor(n / 2),
 }
 
 
 def index_rank(fraction: float) -> Rank:
     """0-based index ``min(n-1, int(n*fraction))``."""
-    return fraction, lambda n: F.least(n - 1, F.floor(n.cast("double") * F.lit(fraction)))
+    return lambda n: F.least(n - 1, F.floor(n.cast("double") * F.lit(fraction)))
+
+
+def bucket(value: Column) -> Column:
+    """A bigint that never decreases along the order of doubles, NaN being the largest; ln is semi-monotonic."""
+    size = F.abs(value)
+    step = F.floor(F.log(size) * F.lit(float(FINENESS))).cast("bigint") + F.lit(2**30)  # ln of a double is above -746
+    finite = F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0))
+    infinite = F.when(value > 0, F.lit(INFINITE)).otherwise(F.lit(-INFINITE))
+    return F.when(F.isnan(value), F.lit(NOT_A_NUMBER)).when(size == float("inf"), infinite).otherwise(finite).cast("bigint")
 
 
 def order_statistics(
@@ -39,92 +51,45 @@ def order_statistics(
 ) -> DataFrame:
     """One row per group: ``totals`` and, as ``<measure>_<rank>``, the exact elements at the ranks.
 
-    Null values are left out. The per-group tables between the passes are
-    written to the scratch folder: they are small, and their known size lets
-    the row passes use them without a shuffle.
+    Null values are left out. The input is read twice, for the totals and for
+    the counts; nothing runs while the plan is built.
     """
-    rows = df.select(*keys, *measures)
-    near = sorted({q for q, _ in ranks.values()})
-    cuts = [min(1.0, max(0.0, q + d)) for q in near for d in (-MARGIN, MARGIN)]
-
-    # Pass 1: totals, group sizes and cut points.
-    sketch = stage(
-        df.groupBy(*keys).agg(
-            *(totals or []),
-            *[F.count(m).alias(f"__n_{m}") for m in measures],
-            *[F.percentile_approx(m, cuts, ACCURACY).alias(f"__cuts_{m}") for m in measures],
-        ),
-        "sketch",
+    held = F.array(*[F.struct(F.lit(i).alias("measure"), F.col(m).cast("double").alias("value")) for i, m in enumerate(measures)])
+    values = (
+        df.select(*keys, F.explode(F.filter(held, lambda h: h["value"].isNotNull())).alias("h"))
+        .groupBy(*keys, "h.measure", "h.value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("bucket", bucket(F.col("value")))
     )
+    return null_safe_join(df.groupBy(*keys).agg(*(totals or [F.count(F.lit(1)).alias("__rows")])), _picked(values, keys, measures, ranks), keys, "left").drop("__rows")
 
-    # Pass 2: exact interval sizes, and from them the interval of each rank.
-    cell = lambda m: sum(((F.col(m) > F.col(f"__cuts_{m}")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
-    cell_columns = {f"__cell_{m}": cell(m) for m in measures}
-    cut_rows = lookup_join(rows, sketch.select(*keys, *[f"__cuts_{m}" for m in measures]), keys, measures[0])
-    sizes = cut_rows.withColumns(cell_columns).groupBy(*keys).agg(
-        *[
-            F.array(*[F.count_if(F.col(f"__cell_{m}") == i) for i in range(len(cuts) + 1)]).alias(f"__sizes_{m}")
-            for m in measures
-        ]
-    )
-    # Rows before each interval.
-    summed = lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(len(cuts))),
-        lambda i: F.aggregate(F.slice(f"__sizes_{m}", 1, i), F.lit(0).cast("bigint"), lambda a, b: a + b),
-    )
-    counted = null_safe_join(sketch, sizes, keys).withColumns({f"__before_{m}": summed(m) for m in measures})
-    located = stage(counted.withColumns({f"__find_{m}": _locate(m, ranks) for m in measures}), "ranks")
-
-    # Pass 3: the values of those intervals, one row per distinct value.
-    found = lookup_join(
-        rows,
-        located.select(*keys, *[f"__{part}_{m}" for part in ("cuts", "find") for m in measures]),
-        keys,
-        measures[0],
-    )
-    found = found.withColumns(cell_columns)
-    in_cell = lambda m: F.filter(f"__find_{m}", lambda f: f["cell"] == F.col(f"__cell_{m}"))
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("measure"),
-                F.col(f"__cell_{m}").alias("cell"),
-                F.col(m).cast("double").alias("value"),
-                in_cell(m).alias("finds"),
-            )
-            for m in measures
-        ]
+
+def weighted_statistics(values: DataFrame, keys: list[str], measure: str, weight: str, ranks: dict[str, Rank]) -> DataFrame:
+    """The same from (keys, value, weight) rows, such as the counts of values that a stream keeps."""
+    counted = (
+        values.filter(F.col(measure).isNotNull())
+        .groupBy(*keys, F.lit(0).alias("measure"), F.col(measure).cast("double").alias("value"))
+        .agg(F.sum(weight).alias("rows"))
+        .withColumn("bucket", bucket(F.col("value")))
     )
-    band = (
-        found.select(*keys, F.explode(F.filter(hits, lambda h: F.size(h["finds"]) > 0)).alias("h"))
-        .groupBy(*keys, "h.measure", "h.cell", "h.value")
-        .agg(F.count(F.lit(1)).alias("rows"), F.first("h.finds").alias("finds"))
+    return _picked(counted, keys, [measure], ranks)
+
+
+def _picked(values: DataFrame, keys: list[str], measures: list[str], ranks: dict[str, Rank]) -> DataFrame:
+    """(keys, measure, value, rows, bucket) -> one row per group with all its elements at the ranks."""
+    group = [*keys, "measure"]
+    upto = lambda by, order: F.sum("rows").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("bigint").alias("at")) for name, rank in ranks.items()])
+    within = lambda at: (at < F.col("upto")) & (at >= F.col("upto") - F.col("rows"))
+    histogram = values.groupBy(*group, "bucket").agg(F.sum("rows").alias("rows"))
+    located = (
+        histogram.withColumns({"upto": upto(group, "bucket"), "n": F.sum("rows").over(Window.partitionBy(*group))})
+        .withColumn("wanted", F.filter(wanted, lambda w: within(w["at"])))
+        .filter(F.size("wanted") > 0)
+        .select(*group, "bucket", F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), (w["at"] - F.col("upto") + F.col("rows")).alias("at"))).alias("wanted"))
     )
-    upto = F.sum("rows").over(Window.partitionBy(*keys, "measure", "cell").orderBy("value"))
-    picked = (
-        band.withColumn("upto", upto)
-        .withColumn("f", F.explode("finds"))
-        .filter((F.col("f.rank") < F.col("upto")) & (F.col("f.rank") >= F.col("upto") - F.col("rows")))
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.max(F.when((F.col("measure") == m) & (F.col("f.name") == r), F.col("value"))).alias(f"{m}_{r}")
-                for m in measures
-                for r in ranks
-            ]
-        )
+    ranked = null_safe_join(values, located, [*group, "bucket"]).withColumn("upto", upto([*group, "bucket"], "value"))
+    found = ranked.select(*group, "value", F.explode(F.filter("wanted", lambda w: within(w["at"]))).alias("w"))
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when((F.col("measure") == i) & (F.col("w.name") == r), F.col("value"))).alias(f"{m}_{r}") for i, m in enumerate(measures) for r in ranks]
     )
-    kept = [c for c in located.columns if not c.startswith("__")]
-    return null_safe_join(located.select(*kept), picked, keys, "left")
-
-
-def _locate(measure: str, ranks: dict[str, Rank]) -> Column:
-    """(name, cell, rank inside the cell) of every wanted rank; empty for an empty group."""
-    n, before = F.col(f"__n_{measure}"), F.col(f"__before_{measure}")
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(n).cast("bigint").alias("at")) for name, (_, rank) in ranks.items()])
-
-    def place(w: Column) -> Column:
-        cell = F.size(F.filter(before, lambda b: b <= w["at"])) - 1
-        return F.struct(w["name"].alias("name"), cell.alias("cell"), (w["at"] - F.get(before, cell)).alias("rank"))
-
-    return F.transform(F.filter(wanted, lambda w: n > 0), place)

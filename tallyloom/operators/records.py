@@ -14,7 +14,7 @@ from tallyloom.functions.fixed_values import (
     ROLE_KEYS,
     USER_ROLES,
 )
-from tallyloom.functions.pretty import choose, exact_text
+from tallyloom.functions.pretty import choose, exact_parts, exact_text
 from tallyloom.functions.templates import message, system_prompt, user_prompt
 from tallyloom.functions.text import (
     as_string,
@@ -41,12 +41,22 @@ def chat_parts(messages: Column, roles: tuple[str, ...]) -> Column:
     Anything but a list gives ``""``; elements that are no objects are skipped.
     """
     elements = F.try_variant_get(messages, "$", "array<variant>")
-    role = lambda m: F.lower(F.coalesce(as_string(first_truthy(m, ROLE_KEYS)), F.lit("")))
     content = lambda m: to_text(first_truthy(m, CONTENT_KEYS))
-    texts = F.transform(F.filter(elements, lambda m: role(m).isin(*roles)), content)
+    texts = F.transform(F.filter(elements, _spoken_by(roles)), content)
     return F.coalesce(F.array_join(F.filter(texts, lambda t: t != ""), PART_SEPARATOR), F.lit(""))
 
 
+def _spoken_by(roles: tuple[str, ...]):
+    return lambda m: F.lower(F.coalesce(as_string(first_truthy(m, ROLE_KEYS)), F.lit(""))).isin(*roles)
+
+
+def exact_chat_parts(record: Column, raw: Column, roles: tuple[str, ...]) -> Column:
+    """The same from a record and its JSON text; contents that are no strings are indented in the order written."""
+    parts = lambda c: exact_parts(c, raw, CONTENT_KEYS, _spoken_by(roles))
+    texts = F.get(F.transform(F.array(choose(record, MESSAGE_KEYS)), parts), F.lit(0))
+    return F.coalesce(F.array_join(texts, PART_SEPARATOR), F.lit(""))
+
+
 def chat_pairs(
     turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -84,7 +94,7 @@ def normalize(
     Instruction and output fall back to the chat list when their field is
     missing or falsy; input has no fallback. Values that are no strings become
     JSON text: compact with sorted keys, or, given the column ``raw`` with the
-    record's own JSON text, indented in the order written.
+    record's own JSON text, indented in the order written, also inside chat lists.
     """
     rec = F.col(record)
     if raw:
@@ -112,7 +122,7 @@ def _normalize_exact(df: DataFrame, rec: Column, raw: str, source: str, keep: tu
         *keep,
         source,
         raw,
-        first_filled(rec, MESSAGE_KEYS).alias("__messages"),
+        rec.alias("__record"),
         *[choose(rec, keys).alias(f"__{name}") for name, keys in fields.items()],
     )
 
@@ -120,7 +130,7 @@ def _normalize_exact(df: DataFrame, rec: Column, raw: str, source: str, keep: tu
         own = exact_text(F.col(f"__{name}"), F.col(raw))
         if name not in roles:
             return own
-        return F.when(is_falsy(F.col(f"__{name}.value")), chat_parts(F.col("__messages"), roles[name])).otherwise(own)
+        return F.when(is_falsy(F.col(f"__{name}.value")), exact_chat_parts(F.col("__record"), F.col(raw), roles[name])).otherwise(own)
 
     return chosen.select(*keep, *[text(name).alias(name) for name in fields], F.col(source).alias("source_file"))
 

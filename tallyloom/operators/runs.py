@@ -3,9 +3,8 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions.fixed_values import ABORTED_REQUEST, FAILURE_LIMIT
-from tallyloom.functions.ordering import time_segments
-from tallyloom.operators.joins import HOT_ROWS, null_safe_join, spread_join
-from tallyloom.operators.position import position_by_id, tag_hot
+from tallyloom.operators.joins import null_safe_join, spread_join, stage
+from tallyloom.operators.position import position_by_id
 from tallyloom.operators.select import row_count
 
 
@@ -30,43 +29,42 @@ def request_plan(prompts: DataFrame, levels: list[int], prompt_id: str, num_requ
 # --- failure cut-off ---------------------------------------------------------
 
 
-def failure_runs(
-    df: DataFrame, group: list[str], micros: str, row_id: str, segment_seconds: int = 60, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``streak``, the number of consecutive failures ending at each row (0 on success).
+def failure_runs(df: DataFrame, group: list[str], micros: str, row_id: str, ranges: int | None = None) -> DataFrame:
+    """(group, micros, row_id, success, streak): consecutive failures ending at each row, 0 on success.
 
-    A large group is ranked in time segments only. What a segment hands on (its
-    trailing failures) is chained over the segments, so a group holding much of
-    the log is spread over many tasks.
+    A segmented scan. Rows are cut into ranges of like size along (group, time,
+    id), wherever the rows are, so also inside one minute of one group; each
+    range is scanned by itself. What a range does to a group is summed up
+    (its rows, its trailing failures, whether it has a success), and these
+    summaries, one row per range and group, are composed along the ranges.
     """
-    inside = Window.partitionBy("__cell").orderBy(micros, row_id)
+    rows = df.select(*group, micros, row_id, "success")
+    order = [*group, micros, row_id]
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    # Ranges come from a sample; written down, all that follows sees the same ones.
+    cut = stage(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    cell = ["__range", *group]
+    inside = Window.partitionBy(*cell).orderBy(micros, row_id)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        tag_hot(df, group, time_segments(F.col(micros), segment_seconds)[-1:], hot_rows)
-        .withColumn("__rn", F.row_number().over(inside))
+        cut.withColumn("__rn", F.row_number().over(inside))
         .withColumn("__last_ok", F.coalesce(F.max(F.when(F.col("success"), F.col("__rn"))).over(upto), F.lit(0)))
         .withColumn("__run", F.col("__rn") - F.col("__last_ok"))
     )
-    joined = local.join(_carried_failures(local.filter("__hot"), group), "__cell", "left")
+    joined = null_safe_join(local, _carried_failures(local, cell, group), cell, "left")
     carry = F.when(F.col("__last_ok") == 0, F.coalesce("__carry", F.lit(0))).otherwise(F.lit(0))
-    return joined.withColumn("streak", F.col("__run") + carry).drop(
-        "__cell", "__hot", "__rn", "__last_ok", "__run", "__carry"
-    )
+    return joined.select(*order, "success", (F.col("__run") + carry).alias("streak"))
 
 
-def _carried_failures(local: DataFrame, group: list[str]) -> DataFrame:
-    """Failures running into each segment from the ones before it."""
-    ends = (
-        local.groupBy("__cell")
-        .agg(F.max_by("__run", "__rn").alias("trailing"), F.max("__last_ok").alias("last_ok"))
-        .select("__cell", *[F.col("__cell")[c].alias(c) for c in group], F.col("__cell.__seg0").alias("seg"), "trailing", "last_ok")
-    )
-    along = Window.partitionBy(*group).orderBy("seg")  # one row per segment
+def _carried_failures(local: DataFrame, cell: list[str], group: list[str]) -> DataFrame:
+    """Failures of the group running into each range from the ones before it."""
+    ends = local.groupBy(*cell).agg(F.max_by("__run", "__rn").alias("trailing"), F.max("__last_ok").alias("last_ok"))
+    along = Window.partitionBy(*group).orderBy("__range")  # one row per range
     block = F.sum((F.col("last_ok") > 0).cast("bigint")).over(along)
     chained = ends.withColumn("block", block).withColumn(
-        "out", F.sum("trailing").over(Window.partitionBy(*group, "block").orderBy("seg"))
+        "out", F.sum("trailing").over(Window.partitionBy(*group, "block").orderBy("__range"))
     )
-    return chained.select("__cell", F.lag("out", 1, 0).over(along).alias("__carry"))
+    return chained.select(*cell, F.lag("out", 1, 0).over(along).alias("__carry"))
 
 
 def cut_off(
@@ -76,8 +74,7 @@ def cut_off(
     micros: str,
     row_id: str,
     limit: int = FAILURE_LIMIT,
-    segment_seconds: int = 60,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per (run, level): completed, aborted or not_run, with the aborting request.
 
@@ -87,10 +84,10 @@ def cut_off(
     """
     keys = [*run, level]
     at = F.struct(F.col(micros).alias("micros"), F.col(row_id).alias("id"))
-    streaks = failure_runs(df, keys, micros, row_id, segment_seconds, hot_rows)
+    streaks = failure_runs(df, keys, micros, row_id, ranges)
     aborts = streaks.filter(F.col("streak") >= limit).groupBy(*keys).agg(F.min(at).alias("abort"))
     first = aborts.groupBy(*run).agg(F.min(level).alias("__stop"))
-    marked = spread_join(df.select(*keys, micros, row_id), aborts, keys, row_id, "left", hot_rows)
+    marked = spread_join(streaks.select(*keys, micros, row_id), aborts, keys, row_id, "left")
     counted = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("abort").isNull() | (at <= F.col("abort"))).alias("done"),

@@ -4,11 +4,12 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.functions.fixed_values import IGNORE_LABEL, MAX_LENGTH, PAD_MULTIPLE
+from tallyloom.functions.fixed_values import IGNORE_LABEL, MAX_LENGTH, MEGA_BATCHES, PAD_MULTIPLE, SEED
 from tallyloom.functions.ordering import id_segments
 from tallyloom.functions.templates import render_chat
 from tallyloom.operators.position import dense_position, position_by_id
 from tallyloom.operators.records import build_messages
+from tallyloom.operators.select import row_count, shuffle
 
 #: Runs of letters and digits, and single other characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\t\n\x0b\f\r \p{L}\p{N}]"
@@ -141,6 +142,28 @@ def length_batches(df: DataFrame, row_id: str, batch: int) -> DataFrame:
     return placed.withColumn("batch_id", F.floor(F.col("__at") / batch).cast("bigint")).drop("__at")
 
 
+def length_groups(df: DataFrame, row_id: str, batch: int, seed: int = SEED, most: int = MEGA_BATCHES) -> DataFrame:
+    """Add ``position`` and ``batch_id`` of a shuffle that keeps rows of similar ``length`` together.
+
+    Rows are shuffled by a seeded key and cut into runs of up to ``most``
+    batches (fewer where there would be less than four runs). Inside a run, long rows come
+    first. The longest row of all changes places with the very first one, so
+    that the largest batch is tried at once. A run is sorted in one task, which
+    its size bounds.
+    """
+    size = row_count(df)
+    batches = F.least(F.greatest(F.floor(size / F.lit(4 * batch)), F.lit(1)), F.lit(most))
+    run = (batches * batch).cast("bigint")
+    shuffled = shuffle(df, row_id, seed, "__at").withColumn("__run", F.floor(F.col("__at") / run).cast("bigint"))
+    inside = Window.partitionBy("__run").orderBy(F.col("length").desc(), "__at")
+    placed = shuffled.withColumn("__rank", F.row_number().over(inside) - 1)
+    longest = placed.filter(F.col("__rank") == 0).agg(F.max_by("__run", F.struct("length", -F.col("__run")))).scalar() * run
+    at = (F.col("__run") * run + F.col("__rank")).cast("bigint")
+    position = F.when(at == 0, longest).when(at == longest, F.lit(0)).otherwise(at).cast("bigint")
+    grouped = placed.withColumn("position", position).withColumn("batch_id", F.floor(F.col("position") / batch).cast("bigint"))
+    return grouped.drop("__at", "__run", "__rank")
+
+
 def padded_length(longest: Column, multiple: int = PAD_MULTIPLE) -> Column:
     if multiple <= 0:
         return longest.cast("int")

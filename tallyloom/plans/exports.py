@@ -1,5 +1,7 @@
 """Subsets for enrichment, export formats and calibration sets."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.fixed_values import CALIBRATION_LENGTH, CALIBRATION_ROWS, CHUNK_SIZE, SAMPLE_LIMIT, SEED
@@ -21,8 +23,10 @@ def enrichment_subset(
     lines: bool | None = None,
     pretty: bool = False,
 ) -> DataFrame:
-    """Write a (de-duplicated) sample of records in chunks; returns the manifest of what was written.
+    """Write a (de-duplicated) sample of records in chunk files; returns the manifest of what was written.
 
+    ``output`` is the name of the file as if there were one, as in
+    ``out/subset.json``; chunks are ``out/subset.part001.json`` and so on.
     ``mode`` is random (also shuffles when everything is kept), head or
     stride. Duplicates go first, so ``limit`` counts unique records.
     """
@@ -40,13 +44,17 @@ def enrichment_subset(
     body = F.when(F.schema_of_variant("record") == "STRING", F.to_json("record")).otherwise(F.coalesce("raw", F.lit("null")))
     ready = chosen.select(F.col(order).alias("n"), body.alias("body"))
     dense = order == "pos"
-    sinks.write_chunks(ready, output, "n", chunk_size, pretty, F.col("body"), dense)
+    folder, _, name = output.rpartition("/")
+    stem, extension = os.path.splitext(name)
+    sinks.write_chunk_files(ready, folder or ".", stem, extension, "n", chunk_size, pretty, F.col("body"), dense)
     return sinks.assign_chunks(ready.select("n"), "n", chunk_size, dense=dense).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def export_formats(spark: SparkSession, paths: list[str], domain: str, stem: str, lines: bool | None = None) -> None:
     """Write ``<stem>_alpaca`` and ``<stem>_sharegpt`` as JSON lines; values that are no strings are indented in the order written."""
-    found = scan_records(spark, paths, lines, keep_raw=True)
+    scanned = scan_records(spark, paths, lines, keep_raw=True)
+    # Elements of arrays come in no order; written as they stood, files by name.
+    found = scanned.repartitionByRange("path", "pos").sortWithinPartitions("path", "pos")
     alpaca = records.to_alpaca(found, raw="raw")
     sinks.write_records(alpaca, f"{stem}_alpaca")
     # A blank input is still an input to the prompt, so it is taken as it stands in the record.

@@ -425,7 +425,7 @@ ORACLES.update(
 )
 
 ORACLES["stream_requests"] = ORACLES["request_metrics"]
-ORACLES["stream_dedupe"] = with_("keyed") + "SELECT DISTINCT key, lang FROM keyed"
+ORACLES["stream_dedupe"] = with_("keyed") + "SELECT min(doc_id) AS doc_id, key, arg_min(lang, doc_id) AS lang FROM keyed GROUP BY key"
 ORACLES["stream_aborts"] = (
     with_("streaks")
     + f"""SELECT model, level, s.a.m AS micros, s.a.i AS request_id FROM
@@ -438,5 +438,72 @@ ORACLES["stream_summary"] = (
         {round_even("sum((CASE WHEN success THEN ttft END)::DECIMAL(18,9))::DOUBLE", 3)} AS ttft_sum,
         {round_even("sum((CASE WHEN success THEN total_time END)::DECIMAL(18,9))::DOUBLE", 3)} AS latency_sum,
         {round_even("max(total_time) FILTER (WHERE success)", 3)} AS latency_max, (sum(output_tokens) FILTER (WHERE success))::BIGINT AS tokens
-      FROM requests WHERE micros // {DAY} * {DAY} + {DAY} <= (SELECT max(micros) FROM requests) - 3600000000 GROUP BY ALL"""
+      FROM requests GROUP BY ALL"""
 )
+ORACLES["stream_quantiles"] = (
+    with_("requests")
+    + f"""SELECT window_start, level, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2.0 AS total_time_median, v[least(n - 1, floor(n::DOUBLE * {fv.P95}::DOUBLE))::BIGINT + 1] AS total_time_p95
+      FROM (SELECT micros // {DAY} * {DAY} AS window_start, level, list_sort(list(total_time)) AS v, count(*) AS n FROM requests WHERE success GROUP BY ALL)"""
+)
+ARRAY_ROWS = "SELECT doc_id >> 8 AS part, {pos} AS pos, doc_id, text AS prompt, source AS answer FROM documents"
+ORACLES["scan_array"] = ARRAY_ROWS.format(pos="row_number() OVER (PARTITION BY doc_id >> 8 ORDER BY doc_id) - 1")
+ORACLES["scan_mixed"] = ORACLES["scan_array"]
+ORACLES["chunk_roundtrip"] = f"""
+    SELECT CASE WHEN n <= {q.MANIFEST_CHUNK} THEN 'subset.jsonl' ELSE 'subset.part' || lpad((place // {q.MANIFEST_CHUNK} + 1)::VARCHAR, 3, '0') || '.jsonl' END AS source_file,
+      place % {q.MANIFEST_CHUNK} AS pos, doc_id, text, source
+    FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)"""
+ORACLES["checkpoint_roundtrip"] = ORACLES["level_summary"]
+ORACLES["results_roundtrip"] = f"SELECT *, 'benchmark_results_' || model AS file_name FROM ({ORACLES['level_summary']})"
+ORACLES["length_groups"] = (
+    with_("feat")
+    + f""", kept AS (SELECT id, length, row_number() OVER (ORDER BY {seeded("id")}, id) - 1 AS place, count(*) OVER () AS n FROM feat WHERE length > prompt_len),
+      runs AS (SELECT *, place // size AS run FROM (SELECT *, least(greatest(n // {4 * q.BATCH}, 1), {fv.MEGA_BATCHES}) * {q.BATCH} AS size FROM kept)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY length DESC, place) - 1 AS rank FROM runs),
+      longest AS (SELECT run * size AS top FROM placed WHERE rank = 0 ORDER BY length DESC, run LIMIT 1),
+      swapped AS (SELECT id, length, CASE WHEN run * size + rank = 0 THEN top WHEN run * size + rank = top THEN 0 ELSE run * size + rank END::BIGINT AS position FROM placed, longest)
+      SELECT id, length, position, position // {q.BATCH} AS batch_id FROM swapped"""
+)
+
+
+def _lines(*parts: str) -> str:
+    """SQL for lines of text, each an expression."""
+    return " || chr(10) || ".join(parts)
+
+
+QUOTED_LANG, QUOTED_SOURCE = "to_json(lang)::VARCHAR", "to_json(source)::VARCHAR"
+ID_OBJECT = ["'{'", "'  \"id\": ' || doc_id || ','", "'  \"a\": ['", "'    1.5,'", "'    {},'", "'    [],'", "'    true'", "'  ],'", f"'  \"lang\": ' || {QUOTED_LANG}", "'}'"]
+LIST = ["'['", "'  ' || n_chars || ','", "'  null,'", "'  \"x\"'", "']'"]
+SAID_USER = ["'{'", f"'  \"t\": ' || {QUOTED_SOURCE} || ','", "'  \"b\": ['", "'    2,'", "'    1'", "'  ]'", "'}'"]
+SAID_GPT = ["'['", "'  {'", "'    \"q\": \"é/\"'", "'  }'", "']'"]
+NO_TOOL = ["'{'", "'  \"no\": 1'", "'}'"]
+
+
+def _inside(first: str, parts: list[str], depth: int, last: str = "") -> list[str]:
+    """The lines of a value inside another one: a key before the first, a comma behind the last."""
+    pad = "  " * depth
+    out = [f"'{pad}' || {p}" for p in parts]
+    out[0] = f"'{pad}{first}' || {parts[0]}"
+    out[-1] += f" || '{last}'"
+    return out
+
+
+RECORD = [
+    "'{'", "'  \"z\": \"u\",'",
+    *_inside('"prompt": ', ID_OBJECT, 1, ","),
+    *_inside('"context": ', LIST, 1, ","),
+    "'  \"answer\": 100.0,'", "'  \"messages\": ['",
+    "'    {'", "'      \"role\": \"user\",'", *_inside('"content": ', SAID_USER, 3), "'    },'",
+    "'    {'", "'      \"role\": \"gpt\",'", *_inside('"text": ', SAID_GPT, 3), "'    },'",
+    "'    {'", "'      \"role\": \"user\",'", "'      \"content\": \"  said \"'", "'    },'",
+    "'    {'", "'      \"from\": \"tool\",'", *_inside('"content": ', NO_TOOL, 3), "'    }'",
+    "'  ]'", "'}'",
+]
+ORACLES["canonical_text_exact"] = f"SELECT doc_id, {_lines(*RECORD)} AS text FROM documents"
+ORACLES["normalize_exact"] = f"SELECT doc_id, {_lines(*ID_OBJECT)} AS instruction, {_lines(*LIST)} AS input, '100.0' AS output, 'documents' AS source_file FROM documents"
+ORACLES["chat_pair_objects"] = f"SELECT doc_id, {_lines(*SAID_USER)} || chr(10) || chr(10) || 'said' AS instruction, {_lines(*SAID_GPT)} AS output FROM documents"
+
+ORACLES["resolve_sources"] = """
+    WITH files AS (SELECT lang, doc_id % 3 AS shard, count(*) AS rows FROM documents GROUP BY ALL),
+    train AS (SELECT *, CASE WHEN lang = 'de' THEN 0 ELSE 1 END AS entry FROM files WHERE lang = 'de' OR shard < 2)
+    SELECT 'train' AS role, row_number() OVER (ORDER BY entry, lang, shard) - 1 AS place, lang, shard, rows FROM train
+    UNION ALL SELECT 'validation', row_number() OVER (ORDER BY lang, shard) - 1, lang, shard, rows FROM files WHERE shard = 2"""

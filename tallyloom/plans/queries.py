@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions.durations import duration_text, next_step
 from tallyloom.functions.fixed_values import (
+    ASSISTANT_ROLES,
     CALIBRATION_LENGTH,
     CALIBRATION_ROWS,
     INPUT_KEYS,
@@ -13,6 +14,7 @@ from tallyloom.functions.fixed_values import (
     OUTPUT_KEYS,
     STOCK_MAX_LEN,
     STOCK_MAX_SEQS,
+    USER_ROLES,
 )
 from tallyloom.functions.ordering import epoch_micros
 from tallyloom.functions.rounding import round_even
@@ -20,6 +22,7 @@ from tallyloom.functions.templates import render_chat, user_prompt
 from tallyloom.functions.text import is_empty, is_falsy, to_text
 from tallyloom.operators import catalog, records, requests, runs, select, summary, telemetry, tokens
 from tallyloom.plans import views
+from tallyloom.plans.training_data import feature_table
 from tallyloom.plans.views import table
 from tallyloom.sources import json_records, lines, sinks, stream_log
 
@@ -68,6 +71,81 @@ def scan_json(spark, sf_dir):
     return normal.select("doc_id", "instruction", "input", "output")
 
 
+def _array_files(docs, path):
+    """Documents as files of JSON arrays, one folder per 256 ids, in four forms.
+
+    One array; one array of indented objects; a line for each document, an
+    array of one; and, behind a byte-order mark, arrays of three. Unique ids bound
+    the rows of a folder.
+    """
+    pretty = F.to_json(F.struct("doc_id", F.col("text").alias("prompt"), F.col("source").alias("answer")), {"pretty": "true"})
+    flat = F.to_json(F.struct("doc_id", F.col("text").alias("prompt"), F.col("source").alias("answer")))
+    part = F.shiftright("doc_id", 8)
+    window = Window.partitionBy("part").orderBy("doc_id")
+    at = docs.withColumn("part", part).withColumns({"at": F.row_number().over(window) - 1, "next": F.lead("doc_id").over(window)})
+    form, first, last = F.col("part") % 4, F.col("at") == 0, F.col("next").isNull()
+    opens = F.when(form == 2, True).when(form == 3, F.col("at") % 3 == 0).otherwise(first)
+    closes = F.when(form == 2, True).when(form == 3, last | (F.col("at") % 3 == 2)).otherwise(last)
+    text = F.concat(
+        F.when(first & (form == 3), F.lit("\ufeff")).otherwise(F.lit("")),
+        F.when(opens, F.lit("[")).otherwise(F.lit("")),
+        F.when(form == 1, pretty).otherwise(flat),
+        F.when(closes, F.lit("]")).otherwise(F.lit(",")),
+        F.when(form == 2, F.lit("\n")).otherwise(F.lit("")),
+    )
+    rows = at.select("part", "doc_id", text.alias("value")).repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
+
+
+def _scanned_documents(scanned):
+    """Where each record stood in its file, and its fields."""
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint")
+    get = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    return scanned.select(part.alias("part"), "pos", get("doc_id", "bigint").alias("doc_id"), get("prompt", "string").alias("prompt"), get("answer", "string").alias("answer"))
+
+
+@query
+def scan_array(spark, sf_dir):
+    """Documents written as JSON arrays of several forms and read back element by element."""
+    from tallyloom.sources.files import list_files, scratch_dir
+
+    path = scratch_dir(spark, "scan-array")
+    _array_files(table(spark, sf_dir, "documents"), path)
+    return _scanned_documents(json_records.scan_arrays(spark, list_files(spark, f"{path}/part=*/part-*")))
+
+
+@query
+def scan_mixed(spark, sf_dir):
+    """Files of arrays and files of JSON lines, told apart by their first sign."""
+    from tallyloom.sources.files import list_files, scratch_dir
+
+    path, docs = scratch_dir(spark, "scan-mixed"), table(spark, sf_dir, "documents")
+    _array_files(docs.filter("doc_id % 512 < 256"), path)
+    lines = docs.filter("doc_id % 512 >= 256").select(F.shiftright("doc_id", 8).alias("part"), "doc_id", F.col("text").alias("prompt"), F.col("source").alias("answer"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id").write.mode("append").partitionBy("part").json(path)
+    return _scanned_documents(json_records.scan_records(spark, list_files(spark, f"{path}/part=*/part-*")))
+
+
+@query
+def resolve_sources(spark, sf_dir):
+    """The files that a run's options stand for, among files written from documents: role, order, and the rows of each."""
+    from tallyloom.sources.files import scratch_dir
+    from tallyloom.sources.resolve import resolve_sources as resolve
+
+    path = scratch_dir(spark, "sources")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("folder"), (F.col("doc_id") % 3).alias("shard"))
+    docs.repartition("folder", "shard").write.partitionBy("folder", "shard").json(path)
+    options = {"DATASET_DIR": path, "TRAIN_FILES": "folder=de/**/part-*, folder=??/shard=[01]/part-*,folder=de/shard=0/part-*\n", "VALID_FILES": "folder=*/shard=2/*"}
+    found = resolve(spark, options, "/nowhere", "none.json", "none.json")
+    listed = [("train", i, f) for i, f in enumerate(found.train)] + [("validation", i, f) for i, f in enumerate(found.validation)]
+    parts = r"folder=([^/]*)/shard=(\d+)/"
+    names = spark.createDataFrame(listed, "role string, place long, path string")
+    where = lambda c: {"lang": F.regexp_extract(c, parts, 1), "shard": F.regexp_extract(c, parts, 2).cast("bigint")}
+    rows = spark.read.text(sorted({f for _, _, f in listed})).select(F.col("_metadata.file_path").alias("path")).withColumns(where("path"))
+    counts = rows.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("rows"))
+    return names.withColumns(where("path")).join(counts, ["lang", "shard"], "left").select("role", "place", "lang", "shard", "rows")
+
+
 @query
 def source_counts(spark, sf_dir):
     return json_records.source_counts(table(spark, sf_dir, "documents"), "source")
@@ -86,6 +164,49 @@ def chunk_manifest(spark, sf_dir):
     return sinks.chunk_manifest(table(spark, sf_dir, "documents"), "doc_id", MANIFEST_CHUNK)
 
 
+@query
+def chunk_roundtrip(spark, sf_dir):
+    """Documents written as named chunk files and read back: file name, place in the file, fields."""
+    from tallyloom.sources.files import scratch_dir
+
+    path = scratch_dir(spark, "chunk-files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    names = sinks.write_chunk_files(docs, path, "subset", ".jsonl", "doc_id", MANIFEST_CHUNK)
+    scanned = json_records.scan_lines(spark, [f"{path}/{name}" for name in names])
+    get = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    return scanned.select("source_file", "pos", get("doc_id", "bigint").alias("doc_id"), get("text", "string").alias("text"), get("source", "string").alias("source"))
+
+
+@query
+def checkpoint_roundtrip(spark, sf_dir):
+    """Summaries kept as snapshots while levels are finished one after the other; the newest one, read back, with all fields."""
+    from tallyloom.sources.files import scratch_dir
+
+    path, done = scratch_dir(spark, "checkpoint"), None
+    summaries = level_summary(spark, sf_dir).withColumns({"num_requests": F.lit(8), "max_tokens": F.lit(512), "temperature": F.lit(0.7)})
+    from tallyloom.operators.joins import stage
+
+    held = stage(summaries, "summaries")
+    for level in LEVELS:
+        done = held.filter(F.col("level") <= level)
+        sinks.write_checkpoint(done, path, runs.GUARD)
+    stored = sinks.read_checkpoint(spark, path).select("model", F.explode("completed").alias("level", "s"))
+    return stored.select("model", F.col("level").cast("bigint").alias("level"), "s.*")
+
+
+@query
+def results_roundtrip(spark, sf_dir):
+    """Results documents written as JSON and read back, with all fields of all summaries."""
+    from tallyloom.sources.files import scratch_dir
+
+    path = scratch_dir(spark, "results")
+    summaries = level_summary(spark, sf_dir)
+    sinks.write_results(summaries, path, ["model"])
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in summaries.schema.fields if f.name != "model")
+    read = spark.read.schema(f"model string, file_name string, results array<struct<{fields}>>").json(path)
+    return read.select("model", "file_name", F.explode("results").alias("r")).select("model", "file_name", "r.*")
+
+
 @query
 def results_doc(spark, sf_dir):
     summaries = _summaries(spark, sf_dir)
@@ -100,9 +221,16 @@ def results_doc(spark, sf_dir):
     )
 
 
+def _recorded_lines(spark, sf_dir):
+    """The stream lines as a table, as a recorder leaves them; the view over events would be made for each step."""
+    from tallyloom.operators.joins import stage
+
+    return stage(views.stream_lines(spark, sf_dir), "recorded-lines")
+
+
 @query
 def sse_events(spark, sf_dir):
-    return stream_log.parse_stream(views.stream_lines(spark, sf_dir)).select(
+    return stream_log.parse_stream(_recorded_lines(spark, sf_dir)).select(
         "request_id", "seq", "micros", "has_token", "usage_tokens"
     )
 
@@ -135,6 +263,45 @@ def canonical_text(spark, sf_dir):
     return docs.unionByName(events)
 
 
+def _object_raw():
+    """A document as JSON text with objects, lists, numbers and booleans, its keys in no order."""
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+    return F.concat(
+        F.lit('{"z":"u","prompt":{"id":'), F.col("doc_id").cast("string"), F.lit(',"a":[1.50,{},[],true],"lang":'), quoted("lang"),
+        F.lit('},"context":['), F.col("n_chars").cast("string"), F.lit(', null ,"x"], "answer": 1e2,"messages":[{"role":"user","content":{"t":'), quoted("source"),
+        F.lit(',"b":[2,1]}},{"role":"gpt","text":[{"q":"\\u00e9\\/"}]},{"role":"user","content":"  said "},{"from":"tool","content":{"no":1}}]}'),
+    )
+
+
+def _raw_records(spark, sf_dir):
+    raw = _object_raw()
+    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), F.parse_json(raw).alias("record"), F.lit("documents").alias("source_file"))
+
+
+@query
+def canonical_text_exact(spark, sf_dir):
+    """Values that are no strings as indented text, keys in the order written."""
+    from tallyloom.functions.pretty import pretty_json
+
+    return _raw_records(spark, sf_dir).select("doc_id", pretty_json(F.col("raw")).alias("text"))
+
+
+@query
+def normalize_exact(spark, sf_dir):
+    return records.normalize(_raw_records(spark, sf_dir), keep=("doc_id",), raw="raw")
+
+
+@query
+def chat_pair_objects(spark, sf_dir):
+    """Chat lists whose contents are objects, lists and strings."""
+    rows = _raw_records(spark, sf_dir)
+    return rows.select(
+        "doc_id",
+        records.exact_chat_parts(F.col("record"), F.col("raw"), USER_ROLES).alias("instruction"),
+        records.exact_chat_parts(F.col("record"), F.col("raw"), ASSISTANT_ROLES).alias("output"),
+    )
+
+
 @query
 def empty_predicate(spark, sf_dir):
     """Each document's value takes one of eight forms."""
@@ -376,7 +543,7 @@ def stage_counts(spark, sf_dir):
 
 @query
 def pad_batches(spark, sf_dir):
-    batches = tokens.arrival_batches(_features(spark, sf_dir), "id", BATCH)
+    batches = tokens.arrival_batches(feature_table(_features(spark, sf_dir)), "id", BATCH)
     return tokens.pad_batches(batches, PAD_ID).select(
         "id",
         "batch_id",
@@ -389,14 +556,20 @@ def pad_batches(spark, sf_dir):
 
 @query
 def length_batches(spark, sf_dir):
-    kept = tokens.filter_trainable(_features(spark, sf_dir)).select("id", "length")
+    kept = feature_table(tokens.filter_trainable(_features(spark, sf_dir)), "id", "length")
     return tokens.length_batches(kept, "id", BATCH).select("id", F.col("length").cast("bigint").alias("length"), "batch_id")
 
 
+@query
+def length_groups(spark, sf_dir):
+    kept = feature_table(tokens.filter_trainable(_features(spark, sf_dir)), "id", "length")
+    return tokens.length_groups(kept, "id", BATCH).select("id", F.col("length").cast("bigint").alias("length"), "position", "batch_id")
+
+
 @query
 def padding_report(spark, sf_dir):
     """Padding per batch, in arrival order and grouped by length."""
-    kept = _features(spark, sf_dir).select("id", "length")
+    kept = feature_table(_features(spark, sf_dir), "id", "length")
     report = lambda df, name: tokens.batch_report(df).withColumn("grouping", F.lit(name))
     return report(tokens.arrival_batches(kept, "id", BATCH), "arrival").unionByName(
         report(tokens.length_batches(kept, "id", BATCH), "length")
@@ -431,7 +604,7 @@ def _walls(reqs):
 
 @query
 def request_metrics(spark, sf_dir):
-    return requests.request_metrics(views.stream_lines(spark, sf_dir)).withColumns(
+    return requests.request_metrics(_recorded_lines(spark, sf_dir)).withColumns(
         {c: round_even(F.col(c), 6) for c in ("ttft", "total_time", "tokens_per_sec")}
     )
 
@@ -626,102 +799,87 @@ def latest_checkpoint(spark, sf_dir):
 # --- streaming forms ---------------------------------------------------------
 
 
-def _as_stream(df, purpose, files_per_trigger=8, time=None):
-    """The rows as a file stream, from files written to the scratch folder; with ``time``, triggers are in its order."""
-    from tallyloom.sources.files import date_in_order, scratch_dir
+def _as_stream(df, purpose, files_per_trigger=8):
+    """The rows as files in the scratch folder, in no order, and a function that makes a stream of what is there."""
+    from tallyloom.sources.files import scratch_dir
 
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, purpose)
-    if time is None:
-        df.write.parquet(path)
-    else:
-        # Equal times share a range, and each range is one file, numbered in order.
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartitionByRange(parts, time).write.option("maxRecordsPerFile", 0).parquet(path)
-        date_in_order(spark, path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def _run_to_files(stream, purpose):
-    """Run an append stream over what is there and read back what it wrote."""
+    df.write.parquet(path)
+    return path, lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+#: The files of a query come in no order, so the watermark waits for as long as any of these logs is.
+WHOLE_LOG = "3650 days"
+
+
+def _streamed(df, time, step, purpose):
+    """What ``step`` makes of the rows as a stream, run to its end; late rows fail the run."""
     from tallyloom.sources.files import scratch_dir
+    from tallyloom.streaming.closing import run_to_end, to_files
 
-    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, purpose)
-    done = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    done.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, f"{purpose}-out")
+    folder, stream = _as_stream(df, purpose)
+    late = run_to_end(lambda: to_files(step(stream()), path), spark, folder, df.schema, time)
+    if late:
+        raise ValueError(f"{late} rows came behind the watermark and are left out")
+    return spark.read.schema(step(stream()).schema).parquet(f"{path}/rows")
 
 
 @query
 def stream_requests(spark, sf_dir):
-    """Request metrics computed as the lines arrive; all requests are closed by their end marker."""
-    from tallyloom.sources.files import scratch_dir
-    from tallyloom.streaming.request_stream import write_request_metrics
+    """Request metrics computed as the lines arrive; a user's lines are one request over the whole log, so no pause ends it."""
+    from tallyloom.streaming.request_stream import streamed_metrics
 
-    path = scratch_dir(spark, "stream-requests")
-    stream = _as_stream(views.stream_lines(spark, sf_dir), "lines", time="micros")
-    # A user's lines are one request over the whole log, so no pause ends it.
-    write_request_metrics(stream, f"{path}/rows", f"{path}/state", f"{path}/checkpoint", idle_seconds=10**9).awaitTermination()
-    metrics = spark.read.parquet(f"{path}/rows").drop("batch")
+    lines = views.stream_lines(spark, sf_dir).withColumn("ts", F.timestamp_micros("micros"))
+    metrics = _streamed(lines, "ts", lambda s: streamed_metrics(s, idle=WHOLE_LOG, late=WHOLE_LOG), "stream-requests")
     return metrics.withColumns({c: round_even(F.col(c), 6) for c in ("ttft", "total_time", "tokens_per_sec")})
 
 
 @query
 def stream_dedupe(spark, sf_dir):
-    """Keys of documents kept when files arrive one after the other."""
+    """Documents kept when ranges of them arrive one after the other; the first copy of a key stays."""
     from tallyloom.sources.files import scratch_dir
     from tallyloom.streaming.dedupe_stream import write_deduped
 
     path = scratch_dir(spark, "stream-dedupe")
-    docs = _keyed(spark, sf_dir).select("doc_id", "key", "lang").repartition(4)
-    stream = _as_stream(docs, "chunks", files_per_trigger=1)
+    docs = _keyed(spark, sf_dir).select("doc_id", "key", "lang")
+    cuts = docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
+    place = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        docs.filter(place == i).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
     write_deduped(stream, F.col("key"), "doc_id", f"{path}/rows", f"{path}/keys", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select("key", "lang")
+    return spark.read.parquet(f"{path}/rows").select("doc_id", "key", "lang")
 
 
 @query
 def stream_aborts(spark, sf_dir):
     """First third failure in a row per model and level."""
-    from tallyloom.sources.files import scratch_dir
-    from tallyloom.streaming.streak_stream import write_aborts
+    from tallyloom.streaming.streak_stream import streamed_aborts
 
-    path = scratch_dir(spark, "stream-aborts")
-    reqs = views.requests(spark, sf_dir).select(*GROUP, "micros", "request_id", "success")
-    stream = _as_stream(reqs, "results", time="micros")
-    write_aborts(stream, GROUP, "micros", "request_id", f"{path}/rows", f"{path}/state", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(*GROUP, "micros", "request_id")
+    reqs = views.requests(spark, sf_dir).select(*GROUP, "micros", "request_id", "success").withColumn("ts", F.timestamp_micros("micros"))
+    step = lambda s: streamed_aborts(s, GROUP, "ts", "micros", "request_id", width="1 hour", late=WHOLE_LOG)
+    return _streamed(reqs, "ts", step, "stream-aborts")
 
 
-def _summary_tables(reqs, files_per_trigger=8):
-    """Of requests with a time ``ts``: closed days from the stream, days still open at its end, and the number of late rows.
+def _timed_requests(spark, sf_dir):
+    return views.requests(spark, sf_dir).withColumn("ts", F.timestamp_micros("micros"))
 
-    Both tables together hold every row; rows that the stream left out as late are counted in a table and fail the run.
-    """
-    from tallyloom.sources.files import scratch_dir
+
+@query
+def stream_summary(spark, sf_dir):
+    """Daily sums per level, of every day of the log."""
     from tallyloom.streaming.rolling import rolling_summary
 
-    spark, path = reqs.sparkSession, scratch_dir(reqs.sparkSession, "stream-summary-ends")
-    closed = _run_to_files(rolling_summary(_as_stream(reqs, "log", files_per_trigger, time="ts"), ["level"]), "stream-summary")
-    end = F.window("ts", "1 day").getField("end")
-    mark = reqs.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("mark"))
-    marked = reqs.join(F.broadcast(mark)).withColumn("open", end > F.col("mark"))
-    rolling_summary(marked.filter("open").drop("open", "mark"), ["level"]).write.parquet(f"{path}/open")
-    due = marked.agg(F.count_if(~F.col("open")).alias("due"))
-    got = closed.agg(F.coalesce(F.sum("requests_total"), F.lit(0)).alias("got"))
-    due.join(F.broadcast(got)).select((F.col("due") - F.col("got")).alias("late_rows")).write.parquet(f"{path}/late")
-    late = spark.read.parquet(f"{path}/late").first()[0]
-    if late:
-        raise ValueError(f"{late} rows came later than the watermark and are in no day; see {path}/late")
-    return closed, spark.read.parquet(f"{path}/open"), late
+    days = _streamed(_timed_requests(spark, sf_dir), "ts", lambda s: rolling_summary(s, ["level"], late=WHOLE_LOG), "stream-summary")
+    return days.withColumns({c: round_even(F.col(c), 3) for c in ("ttft_sum", "latency_sum", "latency_max")})
 
 
 @query
-def stream_summary(spark, sf_dir):
-    """Daily sums per level; the day still open at the watermark is in a table of its own, as the SQL leaves it out."""
-    reqs = views.requests(spark, sf_dir).withColumn("ts", F.timestamp_micros("micros"))
-    closed, _, _ = _summary_tables(reqs)
-    return closed.withColumns({c: round_even(F.col(c), 3) for c in ("ttft_sum", "latency_sum", "latency_max")})
+def stream_quantiles(spark, sf_dir):
+    """Exact median and p95 latency per day and level, from the counts of values that the stream keeps."""
+    from tallyloom.streaming.rolling import rolling_counts, window_quantiles
+
+    reqs = _timed_requests(spark, sf_dir).select("ts", "level", "success", "total_time")
+    counts = _streamed(reqs, "ts", lambda s: rolling_counts(s, ["level"], "total_time", late=WHOLE_LOG), "stream-quantiles")
+    return window_quantiles(counts, ["level"], "total_time")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.fixed_values import MAX_LENGTH, SEED, TRUE_WORDS, VALIDATION_FRACTION
+from tallyloom.operators.joins import stage
 from tallyloom.operators import select, tokens
 from tallyloom.operators.records import normalize
 from tallyloom.sources.json_records import in_file_order, scan_records
@@ -78,3 +79,12 @@ def training_features(
     kept = tokens.filter_trainable(masked)
     tokens.require_rows(kept.filter(F.col("split") == "train"), "no training row has a trainable label")
     return kept
+
+
+def feature_table(features: DataFrame, *columns: str) -> DataFrame:
+    """The features (or some columns of them) as a table in the scratch folder.
+
+    Batches ask for each row several times: to count, to rank and to pad. From
+    a table they read numbers; from the plan each time would run the tokenizer.
+    """
+    return stage(features.select(*columns) if columns else features, "features")

@@ -5,7 +5,7 @@ import tempfile
 import uuid
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession, functions as F
 
 MAGIC = re.compile(r"[*?\[]")
 
@@ -18,6 +18,11 @@ def _fs(spark: SparkSession, name: str):
     return _path(spark, name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def file_name() -> Column:
+    """Base name of the scanned file; Spark reports it URL-encoded (but leaves plus signs)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def is_absolute(name: str) -> bool:
     return name.startswith("/") or "://" in name or name.startswith("file:")
 
@@ -90,7 +95,7 @@ def _first_sign(spark: SparkSession, name: str) -> str:
     stream = codec.createInputStream(opened) if codec else opened
     try:
         byte = stream.read()
-        while byte >= 0 and byte in b" \t\r\n":
+        while byte >= 0 and byte in b" \t\r\n\xef\xbb\xbf":  # white space and a byte-order mark
             byte = stream.read()
         return chr(byte) if byte >= 0 else ""
     finally:
@@ -130,18 +135,3 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _own_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         root = _own_roots[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def date_in_order(spark: SparkSession, path: str) -> None:
-    """Give a written table's files modification times in the order of their names, in which a file stream reads them."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listed = lambda: sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
-    files = listed()
-    first = max((f.getModificationTime() for f in files), default=0) - 1000 * len(files)
-    for i, f in enumerate(files):
-        fs.setTimes(f.getPath(), first + 1000 * i, -1)
-    times = [f.getModificationTime() for f in listed()]
-    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
-        raise ValueError(f"{path}: its file system keeps no modification times, so its files have no order")

@@ -2,24 +2,18 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.text import strip
 from tallyloom.operators.position import dense_position
-from tallyloom.sources.files import canonical_uri, first_signs
+from tallyloom.sources.files import canonical_uri, file_name, first_signs
+from tallyloom.sources.json_arrays import scan_arrays
 
-#: A larger array file fails: one task holds its text and all its elements.
-ARRAY_BYTES = 1024 * 1024 * 1024
 COLUMNS = ("path", "source_file", "pos", "record")
 #: File lists up to this length are broadcast: a name and a number each.
 LISTED = 50_000
 
 
-def file_name() -> Column:
-    """Base name of the scanned file; Spark reports it URL-encoded (but leaves plus signs)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-
-
 def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True, keep_raw: bool = False) -> DataFrame:
     """JSON lines, split over tasks by byte ranges; bad JSON fails.
 
@@ -46,36 +40,13 @@ def scan_lines(spark: SparkSession, paths: list[str], with_pos: bool = True, kee
     return placed.select(*COLUMNS, *(["raw"] if keep_raw else []))
 
 
-def scan_arrays(spark: SparkSession, paths: list[str], keep_raw: bool = False, limit_bytes: int = ARRAY_BYTES) -> DataFrame:
-    """Files that hold one JSON array each; elements may be anything and keep all their fields.
-
-    A file that is no array fails. One file is one task, so large corpora
-    should be kept as JSON lines; a file above ``limit_bytes`` fails and says so.
-    ``keep_raw`` adds the JSON text of each element as written.
-    """
-    if not paths:
-        raise ValueError("no files to read")
-    whole = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), file_name().alias("source_file"), F.col("_metadata.file_size").alias("size"), "value"
-    )
-    too_large = F.raise_error(F.concat(F.lit(f"a JSON array of more than {limit_bytes} bytes, write it as JSON lines: "), F.col("path")))
-    text = F.when(F.col("size") > limit_bytes, too_large.cast("string")).otherwise(F.col("value"))
-
-    def parsed(kind: str) -> Column:
-        array = F.from_json(text, kind, {"mode": "FAILFAST"})
-        return F.when(array.isNull(), F.raise_error(F.lit("not a JSON array")).cast(kind)).otherwise(array)
-
-    columns = {"record": parsed("array<variant>"), **({"raw": parsed("array<string>")} if keep_raw else {})}
-    both = F.arrays_zip(*[c.alias(n) for n, c in columns.items()])
-    elements = whole.select("path", "source_file", F.posexplode(both).alias("pos", "e"))
-    return elements.select("path", "source_file", F.col("pos").cast("bigint").alias("pos"), *[f"e.{n}" for n in columns])
-
-
 def scan_records(spark: SparkSession, paths: list[str], lines: bool | None = None, keep_raw: bool = False) -> DataFrame:
     """(path, source_file, pos, record[, raw]) of all files.
 
-    ``lines`` says that all files hold JSON lines, or one array each; without
-    it, each file whose first sign is an opening bracket is an array.
+    ``lines`` says that all files hold JSON lines, or arrays; without it, each
+    file whose first sign is an opening bracket holds arrays, whose elements
+    are counted through: lines that are arrays are taken apart, unless
+    ``lines`` is true.
     """
     if lines is not None:
         return (scan_lines if lines else scan_arrays)(spark, paths, keep_raw=keep_raw)

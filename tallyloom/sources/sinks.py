@@ -1,12 +1,16 @@
 """JSON sinks, chunked output, results documents and run checkpoints."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions.fixed_values import CHUNK_SIZE, RESULTS_PREFIX
 from tallyloom.functions.pretty import pretty_json
 from tallyloom.operators.position import position_by_id
 from tallyloom.operators.select import chunk_count, chunk_id, chunk_label, row_count
-from tallyloom.sources.files import delete, exists, move
+from tallyloom.sources.files import delete, exists, list_files, move
+
+PART = re.compile(r"/part=(\d+)/")
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -30,30 +34,35 @@ def chunk_manifest(df: DataFrame, row_id: str, size: int = CHUNK_SIZE) -> DataFr
     )
 
 
-def write_chunks(
+def write_chunk_files(
     df: DataFrame,
-    path: str,
+    folder: str,
+    stem: str,
+    extension: str,
     row_id: str,
     size: int = CHUNK_SIZE,
     pretty: bool = False,
     body: Column | None = None,
     dense: bool = False,
-) -> None:
-    """One folder ``label=partNNN`` per chunk; a single unlabelled output when all fits into one.
+) -> list[str]:
+    """Named chunk files ``stem.partNNN.ext`` in ``folder``, or one file ``stem.ext`` when all fits into one; returns their names.
 
-    A row is written as the JSON text ``body`` (by default all its columns).
-    Plain chunks are JSON lines. ``pretty`` writes each chunk as one indented
-    JSON array; a chunk is one file of one task, so that needs a positive ``size``.
+    A row is written as the JSON text ``body`` (by default all its columns), as
+    JSON lines or, with ``pretty``, as one indented array per file. A file is
+    written by one task, so ``size`` bounds what a task holds.
+
+    Rows are staged in the folder ``stem.staged`` first. The commit then moves
+    each staged file to its name; stopped at any point, it can be run again
+    with ``commit_chunk_files``, and readers never see half a file.
     """
     if pretty and size <= 0:
         raise ValueError("pretty output needs a chunk size")
     text = F.to_json(F.struct(*df.columns)) if body is None else body
-    chunked = assign_chunks(df.withColumn("value", text), row_id, size, dense=dense).select("label", row_id, "value")
-    if size > 0:
-        chunked = chunked.repartition("label").sortWithinPartitions("label", row_id)
+    chunked = assign_chunks(df.withColumn("value", text), row_id, size, dense=dense).select("part", row_id, "value")
+    chunked = chunked.repartition("part").sortWithinPartitions("part", row_id)
     if pretty:
-        first = Window.partitionBy("label").orderBy(row_id)  # one chunk
-        last = Window.partitionBy("label").orderBy(F.col(row_id).desc())
+        first = Window.partitionBy("part").orderBy(row_id)  # one chunk
+        last = Window.partitionBy("part").orderBy(F.col(row_id).desc())
         chunked = chunked.withColumn(
             "value",
             F.concat(
@@ -61,8 +70,48 @@ def write_chunks(
                 F.regexp_replace(pretty_json(F.col("value")), "(?m)^", "  "),
                 F.when(F.row_number().over(last) == 1, F.lit("\n]")).otherwise(F.lit(",")),
             ),
-        ).sortWithinPartitions("label", row_id)
-    chunked.select("label", "value").write.mode("overwrite").partitionBy("label").text(path)
+        ).sortWithinPartitions("part", row_id)
+    staged = _staged(folder, stem)
+    # One file per part, however many rows it has.
+    chunked.select("part", "value").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("part").text(staged)
+    return commit_chunk_files(df.sparkSession, folder, stem, extension)
+
+
+def _staged(folder: str, stem: str) -> str:
+    return f"{folder.rstrip('/')}/{stem}.staged"
+
+
+def commit_chunk_files(spark: SparkSession, folder: str, stem: str, extension: str) -> list[str]:
+    """Give staged chunks their names; those of an earlier output under this stem go first. Safe to run again.
+
+    The list of names is written down before anything is moved, and staging is
+    deleted last, so a second run knows which files are done.
+    """
+    staged, plan = _staged(folder, stem), f"{_staged(folder, stem)}/_names"
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        raise FileNotFoundError(f"{staged} is not a finished set of chunks")
+    if not exists(spark, f"{plan}/_SUCCESS"):
+        files = {int(PART.search(f)[1]): f for f in list_files(spark, f"{staged}/part=*/part-*")}
+        width = max(3, len(str(len(files))))
+        name = lambda n: f"{stem}{extension}" if len(files) == 1 else f"{stem}.part{n:0{width}d}{extension}"
+        rows = [(files[n], name(n)) for n in sorted(files)]
+        spark.createDataFrame(rows, "staged string, name string").coalesce(1).write.mode("overwrite").json(plan)  # one row per file
+    rows = [(r["staged"], r["name"]) for r in spark.read.schema("staged string, name string").json(plan).collect()]
+    names = {name for _, name in rows}
+    own = re.compile(re.escape(stem) + r"(\.part\d{3,})?" + re.escape(extension))
+    for old in list_files(spark, f"{folder.rstrip('/')}/*"):
+        base = old.rpartition("/")[2]
+        if own.fullmatch(base) and base not in names:
+            delete(spark, old)
+    for source, name in rows:
+        target = f"{folder.rstrip('/')}/{name}"
+        if exists(spark, source):
+            if exists(spark, target):
+                delete(spark, target)
+            if not move(spark, source, target):
+                raise OSError(f"cannot move {source} to {target}")
+    delete(spark, staged)
+    return sorted(names)
 
 
 # --- results and run checkpoints ---------------------------------------------
@@ -92,20 +141,35 @@ def checkpoint_documents(summaries: DataFrame, guard: list[str], level: str = "l
     return summaries.groupBy(*guard).agg(F.map_from_entries(F.collect_list(entry)).alias("completed"))
 
 
+#: Snapshots that stay besides the newest: readers that began before a write go on.
+KEPT_SNAPSHOTS = 2
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and folder of all complete snapshots, the newest last; Spark's marker is written when all files are."""
+    done = (f.rpartition("/")[0] for f in list_files(spark, f"{path.rstrip('/')}/snapshot-*/_SUCCESS"))
+    return sorted((int(folder.rpartition("-")[2]), folder) for folder in done)
+
+
 def write_checkpoint(summaries: DataFrame, path: str, guard: list[str]) -> None:
-    """Parquet keeps the summary types and reads back without inference.
+    """Write a new numbered snapshot beside the earlier ones; Parquet keeps the summary types.
 
-    Written beside the old checkpoint first, which ``summaries`` may still read.
+    Nothing is replaced: a write that stops half-way leaves a folder without
+    its marker, which no reader takes, and the snapshots before it stay.
+    ``summaries`` may read them. Older ones go last.
     """
-    beside = f"{path.rstrip('/')}.next"
-    checkpoint_documents(summaries, guard).write.mode("overwrite").parquet(beside)
-    if exists(summaries.sparkSession, path):
-        delete(summaries.sparkSession, path)
-    move(summaries.sparkSession, beside, path)
+    spark = summaries.sparkSession
+    known = _snapshots(spark, path)
+    number = known[-1][0] + 1 if known else 1
+    checkpoint_documents(summaries, guard).write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot-{number:09d}")
+    for _, old in known[:-KEPT_SNAPSHOTS]:
+        delete(spark, old)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
+    """The newest complete snapshot."""
+    known = _snapshots(spark, path)
+    return spark.read.parquet(known[-1][1]) if known else None
 
 
 def finish_run(spark: SparkSession, summaries: DataFrame, path: str, checkpoint: str, header: list[str]) -> None:

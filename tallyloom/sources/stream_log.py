@@ -34,7 +34,8 @@ def parse_stream(lines: DataFrame) -> DataFrame:
     """Decoded chunks before the first end marker of each request.
 
     The end positions are one row per request; a request with very many lines
-    is split over tasks when its lines are joined to them.
+    is split over tasks when its lines are joined to them. Lines of a request are
+    counted as they stand, so each is decoded once.
     """
     data = lines.filter(is_data_line(F.col("line")))
     ends = (
@@ -48,7 +49,7 @@ def parse_stream(lines: DataFrame) -> DataFrame:
         .drop("chunk", "line")
     )
     return (
-        spread_join(decoded, ends, ["request_id"], "seq", "left")
+        spread_join(decoded, ends, ["request_id"], "seq", "left", counted=lines)
         .filter(F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
         .drop("end_seq")
     )

@@ -1,93 +1,47 @@
 """Request metrics while stream lines arrive.
 
-Lines of one request arrive in order (they come over one connection), in any
-number of triggers. A request is reported once: in the trigger that brings its
-end marker, or when the log has moved on by ``idle`` since its last line. It is
-then remembered until it is idle, so that stray lines are ignored.
-
-The state is one row per request in flight, kept in a table beside the stream.
+A request is one session of the log: it is closed, and reported once, when the
+watermark has passed its last line by ``idle``. Until then its lines may come
+in any order and in any number of triggers. The state holds open requests
+only, with what is needed of each line; lines behind the watermark are left
+out and counted by the query's progress.
 """
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators.requests import derive
-from tallyloom.sources.stream_log import is_end, parse_stream
-from tallyloom.streaming.batch_state import previous, save
-
-STATE = (
-    "request_id bigint, start_at bigint, first_at bigint, last_at bigint, end_at bigint,"
-    " chunk_count bigint, usage_seq bigint, usage_tokens bigint, reported boolean, clock bigint"
-)
-
-
-def trigger_parts(lines: DataFrame) -> DataFrame:
-    """What the lines of one trigger add to each request."""
-    at_end = F.when(is_end(F.col("line")), F.col("seq"))
-    spans = lines.groupBy("request_id").agg(
-        F.min("micros").alias("start_at"),
-        F.max("micros").alias("last_at"),
-        F.min_by("micros", at_end).alias("end_at"),
-    )
-    used = F.when(F.col("usage_tokens").isNotNull(), F.col("seq"))
-    chunks = (
-        parse_stream(lines)
-        .groupBy("request_id")
-        .agg(
-            F.min(F.when(F.col("has_token"), F.col("micros"))).alias("first_at"),
-            F.count_if("has_token").alias("chunk_count"),
-            F.max(used).alias("usage_seq"),
-            F.max_by("usage_tokens", used).alias("usage_tokens"),
-        )
-    )
-    return spans.join(chunks, "request_id", "left").withColumn("reported", F.lit(False))
-
-
-def merge(parts: DataFrame, idle_micros: int) -> DataFrame:
-    """Old state and new parts as one row per request, with ``report`` and ``clock`` (the log's latest time)."""
-    flags = parts.groupBy("request_id").agg(F.max("reported").alias("was_reported"))
-    # Lines that follow a report belong to nobody; only the time of the request moves on.
-    usable = parts.join(flags, "request_id").filter(F.col("reported") | ~F.col("was_reported"))
-    clock = parts.agg(F.greatest(F.max("last_at"), F.max("clock")).alias("c")).scalar()
-    merged = usable.groupBy("request_id").agg(
-        F.min("start_at").alias("start_at"),
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
-        F.min("end_at").alias("end_at"),
-        F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunk_count"),
-        F.max("usage_seq").alias("usage_seq"),
-        F.max_by("usage_tokens", "usage_seq").alias("usage_tokens"),
-        F.max("reported").alias("reported"),
+from tallyloom.sources.stream_log import is_data_line, is_end, payload, token_fields
+
+
+def read_lines(lines: DataFrame) -> DataFrame:
+    """Each line with its decoded fields; the JSON of a line is parsed once."""
+    data = is_data_line(F.col("line")) & ~is_end(F.col("line"))
+    chunk = lines.withColumn("chunk", F.when(data, F.try_parse_json(payload(F.col("line")))))
+    fields = {n: F.when(F.col("chunk").isNotNull(), c) for n, c in token_fields(F.col("chunk")).items()}
+    return chunk.withColumns({**fields, "chunk": F.col("chunk").isNotNull(), "end": F.coalesce(is_end(F.col("line")), F.lit(False))}).drop("line")
+
+
+def streamed_metrics(lines: DataFrame, time: str = "ts", idle: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+    """Metrics of closed requests from a stream of (request_id, seq, micros, ts, line); a null request_id is no request."""
+    read = read_lines(lines.withWatermark(time, late))
+    line = F.struct("seq", "micros", "chunk", "has_token", "usage_tokens", "end")
+    lines_of = F.collect_list(F.when(F.col("request_id").isNotNull(), line))
+    sessions = read.groupBy(F.session_window(time, idle).alias("session"), "request_id").agg(lines_of.alias("lines"))
+    # Asked of the lists: a filter on ids would go below the watermark, which then would not see all times.
+    ordered = sessions.filter(F.size("lines") > 0).withColumn("lines", F.array_sort("lines"))
+    ends = ordered.withColumn("ended", F.get(F.filter("lines", lambda x: x["end"]), F.lit(0)))
+    own = ends.withColumn("chunks", F.filter("lines", lambda x: x["chunk"] & (F.col("ended").isNull() | (x["seq"] < F.col("ended.seq")))))
+    texts, used = F.filter("chunks", lambda x: x["has_token"]), F.filter("chunks", lambda x: x["usage_tokens"].isNotNull())
+    times = F.transform("lines", lambda x: x["micros"])
+    counted = own.select(
+        "request_id",
+        F.array_min(times).alias("start_at"),
+        F.coalesce("ended.micros", F.array_max(times)).alias("end_at"),
+        F.array_min(F.transform(texts, lambda x: x["micros"])).alias("first_at"),
+        F.size(texts).cast("bigint").alias("chunk_count"),
+        F.try_element_at(used, F.lit(-1)).getField("usage_tokens").alias("usage_tokens"),
     )
-    idle = F.col("last_at") < clock - F.lit(idle_micros)
-    return merged.withColumns(
-        {"clock": clock, "idle": idle, "report": ~F.col("reported") & (F.col("end_at").isNotNull() | idle)}
-    )
-
-
-def write_request_metrics(
-    lines: DataFrame, output: str, state: str, checkpoint: str, idle_seconds: int = 30
-) -> StreamingQuery:
-    """Append the metrics of finished requests to ``output``; runs over what is there.
-
-    ``lines`` is a stream of (request_id, seq, micros, line).
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        known = previous(batch.sparkSession, state, batch_id, STATE)
-        parts = known.unionByName(trigger_parts(batch), allowMissingColumns=True)
-        save(merge(parts, idle_seconds * 1_000_000), f"{state}-merged", batch_id)
-        now = batch.sparkSession.read.parquet(f"{state}-merged/batch={batch_id}")
-        save(metrics(now.filter("report")), output, batch_id)
-        kept = now.filter(~F.col("idle")).withColumn("reported", F.col("reported") | F.col("report"))
-        save(kept.drop("idle", "report"), state, batch_id)
-
-    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def metrics(finished: DataFrame) -> DataFrame:
     tokens = F.when(F.col("usage_tokens") > 0, F.col("usage_tokens")).otherwise(F.col("chunk_count"))
-    closed = finished.withColumns({"output_tokens": tokens, "end_at": F.coalesce("end_at", "last_at")})
-    return derive(closed, "start_at", "first_at", "end_at", "output_tokens").select(
+    return derive(counted.withColumn("output_tokens", tokens), "start_at", "first_at", "end_at", "output_tokens").select(
         "request_id", "ttft", "total_time", "output_tokens", "tokens_per_sec", "chunk_count"
     )

@@ -11,6 +11,11 @@ from test_sources import write
 from tallyloom.plans import exports, request_reports, training_data
 
 
+def read_named(folder, *names):
+    assert sorted(f for f in os.listdir(folder) if not f.startswith(".")) == sorted(names)
+    return [line for name in names for line in open(f"{folder}/{name}", encoding="utf-8").read().splitlines()]
+
+
 def read_lines(path):
     found = [f"{d}/{f}" for d, _, fs in os.walk(path) for f in fs if f.startswith("part-") and not f.endswith(".crc")]
     return [line for f in sorted(found) for line in open(f, encoding="utf-8").read().splitlines()]
@@ -57,21 +62,20 @@ def test_training_features(spark):
 def test_enrichment_subset(spark, tmp_path, mode):
     items = [{"instruction": f"i{n % 30}", "z": n, "input": {"b": 1, "a": "é"}} for n in range(50)] + ["5", 5, None, None]
     path = write(f"{tmp_path}/in.json", json.dumps(items))
-    manifest = exports.enrichment_subset(spark, [path], f"{tmp_path}/out", 20, mode=mode, chunk_size=8, dedupe=True)
+    manifest = exports.enrichment_subset(spark, [path], f"{tmp_path}/out/sub.json", 20, mode=mode, chunk_size=8, dedupe=True)
     assert {r.label: r.rows for r in manifest.collect()} == {"part001": 8, "part002": 8, "part003": 4}
-    got = [json.loads(x) for x in read_lines(f"{tmp_path}/out")]
+    got = [json.loads(x) for x in read_named(f"{tmp_path}/out", *[f"sub.part00{i}.json" for i in (1, 2, 3)])]
     unique = items[:30] + ["5", None]  # the number 5 has the text of the string "5"
     want = {"head": unique[:20], "stride": [unique[int(i * (32 / 20))] for i in range(20)]}
     assert len(got) == 20 and all(x in unique for x in got)
-    assert sorted(os.listdir(f"{tmp_path}/out"))[-3:] == ["label=part001", "label=part002", "label=part003"]
     assert mode == "random" or got == want[mode]
     assert mode != "random" or got != [x for x in unique if x in got]
 
 
 def test_enrichment_keeps_everything(spark, tmp_path):
     path = write(f"{tmp_path}/in.jsonl", "\n".join(json.dumps({"a": i}) for i in range(30)))
-    exports.enrichment_subset(spark, [path], f"{tmp_path}/out", 0, mode="random", chunk_size=0)
-    got = [json.loads(x)["a"] for x in read_lines(f"{tmp_path}/out")]
+    exports.enrichment_subset(spark, [path], f"{tmp_path}/out/all.jsonl", 0, mode="random", chunk_size=0)
+    got = [json.loads(x)["a"] for x in read_named(f"{tmp_path}/out", "all.jsonl")]
     assert sorted(got) == list(range(30))
 
 
@@ -109,3 +113,24 @@ def test_run_report(spark, tmp_path):
     second = request_reports.run_report(spark, results({1: "S", 2: "SS", 4: "FSS"}), out, ck).collect()
     assert sorted((r.level, r.requests_ok) for r in second) == [(1, 2), (2, 2), (4, 2)]
     assert not os.path.exists(ck) and os.path.exists(out)
+
+
+def test_the_tokenizer_runs_once_a_row(spark):
+    """Batches are made from the written features: their plan holds no tokenizer, and a row is tokenised once."""
+    from tallyloom.operators import tokens
+
+    runs_of = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            runs_of.add(len(texts))
+            return [[1] * (len(t) % 7 + 1) for t in texts]
+
+        return encode
+
+    records = spark.createDataFrame([(i, f"i{i}", "", "o" * i, "train") for i in range(40)], "id bigint, instruction string, input string, output string, split string")
+    masked = tokens.mask_labels(tokens.tokenize(records, tokenizer=tokens.external_tokenizer(load)))
+    table = training_data.feature_table(masked, "id", "length", "input_ids", "attention_mask", "labels")
+    padded = tokens.pad_batches(tokens.length_groups(table, "id", 4), 0)
+    assert padded.count() == 40 and runs_of.value == 80  # prompt and whole text
+    assert "Python" not in padded._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed_values as fv
-from tallyloom.functions.pretty import choose, exact_text
+from tallyloom.functions.pretty import choose, exact_text, pretty_json
 from tallyloom.functions.templates import render_chat, user_prompt
 from tallyloom.functions.text import is_empty, is_falsy, strip, to_text
 from tallyloom.operators import records
@@ -40,6 +40,49 @@ def test_to_text(spark):
     assert column(df, to_text(F.col("record"))) == ["", "x y", "0", "true", '{"a":"é","b":1}', '[1,"2"]']
 
 
+def test_pretty_json_equals_python(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 4 else 6)
+        if kind == 0:
+            return rng.choice(["", "é", 'a"b', "\\", "},{", "a: [1, 2]", "\n\t", "/", "\u2028", "日本"])
+        if kind == 1:
+            return rng.choice([0, -7, 10**25, 123456])
+        if kind == 2:
+            return rng.choice([0.5, 1e16, 1.5e-7, 1e300, 12345678.9, 0.0001, 123456789012345.6, -2.5e-5, 1e22, 100.0, 2.5e-310])
+        if kind < 6:
+            return rng.choice([True, False, None])
+        if kind == 6:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice("zyxabc") + str(i): value(depth + 1) for i in range(rng.randrange(4))}
+
+    values = [value(0) for _ in range(200)] + [{}, [], [[]], [{}], {"a": {}}, [[], {}]]
+    forms = [dict(), dict(separators=(",", ":")), dict(indent=5), dict(ensure_ascii=True)]
+    texts = [json.dumps(v, **{"ensure_ascii": False, **rng.choice(forms)}) for v in values]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert column(df, pretty_json(F.col("t"))) == [json.dumps(v, ensure_ascii=False, indent=2) for v in values]
+    plan = df.select(pretty_json(F.col("t")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_exact_chat_parts(spark):
+    lists = [
+        {"messages": [{"role": "User", "content": {"z": 1, "a": [True]}}, {"from": "human", "value": " x "}, {"role": "gpt", "text": [1.50]}, "no object", {"role": "user", "content": "", "text": "t"}]},
+        {"messages": {}, "conversations": [{"speaker": "model", "content": "a"}]},
+        {"messages": "text", "conversations": [{"role": "user", "content": "never"}]},
+        {"messages": [], "conversations": None},
+        [1],
+    ]
+    df = variants(spark, lists)
+    parts = lambda roles: column(df, records.exact_chat_parts(F.col("record"), F.col("raw"), roles))
+    asked = json.dumps({"z": 1, "a": [True]}, indent=2) + "\n\nx\n\nt"
+    assert parts(fv.USER_ROLES) == [asked, "", "", "", ""]
+    assert parts(fv.ASSISTANT_ROLES) == [json.dumps([1.5], indent=2), "a", "", "", ""]
+
+
 def test_exact_text_keeps_order_and_indents(spark):
     df = variants(spark, [{"input": {"b": 1, "a": ["é"]}}, {"context": " s "}, {}])
     want = [json.dumps({"b": 1, "a": ["é"]}, ensure_ascii=False, indent=2), "s", ""]

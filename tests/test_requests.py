@@ -45,7 +45,7 @@ def test_request_metrics(spark):
 def test_parse_stream_with_a_hot_request(spark, monkeypatch):
     from tallyloom.operators import joins
 
-    monkeypatch.setattr(joins.spread_join, "__defaults__", ("inner", 50))
+    monkeypatch.setattr(joins.spread_join, "__defaults__", ("inner", 50, None))
     many = {7: [chunk(content="x")] * 500 + ["data: [DONE]"] + [chunk(content="x")] * 9, **STREAMS}
     counts = {r.request_id: r["count"] for r in parse_stream(lines(spark, many)).groupBy("request_id").count().collect()}
     assert counts == {7: 500, 1: 5, 2: 3, 3: 1, 4: 3}
@@ -126,14 +126,29 @@ def streaks(text):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10**6])
+@pytest.mark.parametrize("ranges", [1, 5, None])
 @pytest.mark.parametrize("text", ["FFSFFFS", "F" * 40, "S", "SFFFFFFFFFSFSFFFFS" + "F" * 9, "FSFSFFSSSSSSSSFFFFFFFFFFFFFFFFFFFFFFS"])
-def test_failure_runs(spark, text, hot_rows):
+def test_failure_runs(spark, text, ranges):
     df = log(spark, text).unionByName(log(spark, "FF", "other"))
-    rows = runs.failure_runs(df, ["model", "level"], "micros", "request_id", 60, hot_rows).filter("model = 'm'").collect()
+    rows = runs.failure_runs(df, ["model", "level"], "micros", "request_id", ranges).filter("model = 'm'").collect()
     assert [r.streak for r in sorted(rows, key=lambda r: r.request_id)] == streaks(text)
 
 
+def test_failure_runs_of_one_minute_of_one_group(spark):
+    """A group with nine tenths of the rows, all in one minute and most at one instant, is cut into ranges of like size."""
+    kind = F.when(F.col("id") % 10 == 9, F.lit("other")).otherwise(F.lit("hot"))
+    at = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))
+    ok = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    df = spark.range(40_000).select(kind.alias("g"), at.alias("micros"), F.col("id").alias("request_id"), ok.alias("success"))
+    got = {r.request_id: r.streak for r in runs.failure_runs(df, ["g"], "micros", "request_id", 40).collect()}
+    last, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.micros, r.request_id)):
+        want[r.request_id] = last[r.g] = 0 if r.success else last.get(r.g, 0) + 1
+    assert got == want
+    ranged = df.repartitionByRange(40, "g", "micros", "request_id").groupBy(F.spark_partition_id()).count()
+    assert ranged.agg(F.max("count")).first()[0] <= 0.05 * 40_000
+
+
 def test_cut_off(spark):
     df = log(spark, "SSFFS").unionByName(log(spark, "FFSFFFSS", level=2)).unionByName(log(spark, "SS", level=4)).unionByName(log(spark, "FS", "ok", 4))
     got = {(r.model, r.level): tuple(r)[2:] for r in runs.cut_off(df, ["model"], "level", "micros", "request_id").collect()}

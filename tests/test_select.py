@@ -7,7 +7,7 @@ from tallyloom.functions.ordering import epoch_micros, hash_segments, id_segment
 from tallyloom.operators import select
 from tallyloom.operators.joins import lookup_join, spread_join, stage
 from tallyloom.operators.position import dense_position, position_by_id
-from tallyloom.operators.quantiles import MEDIAN, index_rank, order_statistics
+from tallyloom.operators.quantiles import MEDIAN, index_rank, order_statistics, weighted_statistics
 from tallyloom.sources.sinks import assign_chunks
 
 
@@ -150,12 +150,40 @@ def test_order_statistics(spark, n):
     assert (r.v_lo, r.v_hi, r.v_p95) == ((n - 1) // 2, n // 2, min(n - 1, int(n * 0.95)))
 
 
-def test_order_statistics_with_poor_cut_points(spark, monkeypatch):
-    """Exact even if the approximate quantiles are far off, with ties and nulls."""
-    from tallyloom.operators import quantiles
+def test_buckets_follow_the_order_of_doubles(spark):
+    import random
+    import struct
 
-    monkeypatch.setattr(quantiles, "ACCURACY", 2)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    rng = random.Random(3)
+    near = [struct.unpack("<d", struct.pack("<q", struct.unpack("<q", struct.pack("<d", b))[0] + i))[0] for b in (1.0, 0.1, 7e200) for i in range(-40, 40)]
+    values = [*near, *(rng.uniform(-2, 2) * 10 ** rng.randint(-320, 300) for _ in range(3000)), 0.0, -0.0, 5e-324, 1.7976931348623157e308, float("inf"), -float("inf")]
+    from tallyloom.operators.quantiles import bucket
+
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),)], "v double").withColumn("b", bucket(F.col("v")))
+    found = [r.b for r in df.orderBy("v").collect()]
+    assert found == sorted(found)
+
+
+def test_order_statistics_run_nothing_while_planned_and_read_twice(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")).write.parquet(f"{tmp_path}/t")
+    group = "order-statistics-plan"
+    df = spark.read.parquet(f"{tmp_path}/t")
+    spark.sparkContext.setJobGroup(group, group)
+    got = order_statistics(df, ["k"], ["v"], MEDIAN, [F.sum("v").alias("s")])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    got.collect()
+    spark.sparkContext.setJobGroup("", "")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("FileScan parquet" in line for line in plan.splitlines()) - sum("ReusedExchange" in line for line in plan.splitlines()) <= 3
+
+
+def test_weighted_statistics(spark):
+    df = spark.createDataFrame([("a", 3.0, 5), ("a", 1.0, 4), ("a", 3.0, 1), ("b", 2.0, 1), ("c", None, 4)], "k string, v double, n long")
+    got = {r.k: (r.v_lo, r.v_hi, r.v_p95) for r in weighted_statistics(df, ["k"], "v", "n", {**MEDIAN, "p95": index_rank(0.95)}).collect()}
+    assert got == {"a": (3.0, 3.0, 3.0), "b": (2.0, 2.0, 2.0)}
+
+
+def test_order_statistics_with_ties_and_nulls(spark):
     df = spark.range(4000).select(
         F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("k"),
         F.when(F.col("id") % 7 == 0, 5.0).when(F.col("id") % 7 != 1, F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0).alias("v"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.records import normalize
-from tallyloom.sources import json_records, sinks
+from tallyloom.sources import json_arrays, json_records, sinks
 from tallyloom.sources.files import scratch_dir
 from tallyloom.sources.lines import read_prompts
 from tallyloom.sources.resolve import resolve_sources, split_entries
@@ -32,19 +32,57 @@ def test_scan_arrays(spark, tmp_path):
     assert [json.loads(got["m.json", i]) if got["m.json", i] else None for i in range(7)] == MIXED
 
 
-def test_scan_rejects_what_is_no_array(spark, tmp_path):
-    for text in ('{"a": 1}', "[1, 2", "3"):
-        with pytest.raises(Exception):
-            json_records.scan_arrays(spark, [write(f"{tmp_path}/bad.json", text)]).collect()
-
-
-def test_array_size_changes_nothing_but_an_error(spark, tmp_path):
-    item = {"instruction": "i", "extra": {"x": 1}, "id": 7, "input": None, "output": {"b": 1, "a": 1.5}}
-    path = write(f"{tmp_path}/l.json", json.dumps([item, "text", 5]))
-    rows = json_records.scan_arrays(spark, [path], keep_raw=True).orderBy("pos").select("raw", F.to_json("record").alias("j")).collect()
-    assert json.loads(rows[0].raw) == json.loads(rows[0].j) == item and [r.j for r in rows[1:]] == ['"text"', "5"]
-    with pytest.raises(Exception, match="JSON lines"):
-        json_records.scan_arrays(spark, [path], limit_bytes=10).collect()
+@pytest.mark.parametrize("text", ['{"a": 1}', "[1, 2", "3", '[1] {"b": 2}', "[1], [2]", "[1] x", "[1, [2]", '["a', "[1,,2]", "[1]]", '[{"a": 1}]\n[{"b": 2}', "x[1]"])
+def test_scan_rejects_what_is_no_array(spark, tmp_path, text):
+    with pytest.raises(Exception):
+        json_records.scan_arrays(spark, [write(f"{tmp_path}/bad.json", text)]).collect()
+
+
+TRICKY = ["", ",", "],[", '"', "\\", '\\",[', "a,b", {"k,[": ["]", {"x": [1, [2, "}"]]}], "": {}}, [], [[]], [1, [2, ","]], None, True, -1.5e300, "é\u0000\n\t", "\ufeff", "] [", {"a": "]\n["}]
+
+
+@pytest.mark.parametrize("split", [211, 10**8])
+def test_scan_arrays_of_any_form(spark, tmp_path, split):
+    """Elements that hold commas, quotes, brackets and escapes, in files cut at any byte."""
+    dump = lambda v, **k: json.dumps(v, ensure_ascii=k.pop("ascii", False), **k)
+    forms = {
+        "compact.json": (dump(TRICKY, separators=(",", ":")), TRICKY),
+        "pretty.json": ("\ufeff \r\n" + dump(TRICKY, indent=3) + "\n\n", TRICKY),
+        "escaped.json": (dump(TRICKY, ascii=True), TRICKY),
+        "lines.json": ("\n".join(dump([t, t]) for t in TRICKY), [x for t in TRICKY for x in (t, t)]),
+        "several.json": ("".join(dump(TRICKY[:i]) + " \t" for i in range(len(TRICKY))), [t for i in range(len(TRICKY)) for t in TRICKY[:i]]),
+        "single.json": ("".join(dump([t]) for t in TRICKY), TRICKY),
+        "empty.json": ("[ ]\n[]", []),
+        "nothing.json": ("", []),
+    }
+    files = [write(f"{tmp_path}/{name}", text) for name, (text, _) in forms.items()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = json_records.scan_arrays(spark, files, keep_raw=True).select("source_file", "pos", "raw", F.to_json("record").alias("j")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for name, (_, want) in forms.items():
+        mine = sorted((r for r in rows if r.source_file == name), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(want))), name
+        assert [json.loads(r.raw) for r in mine] == want, name
+        assert [json.loads(r.j) if r.j else None for r in mine] == want, name
+
+
+def test_one_array_is_many_tasks(spark, tmp_path):
+    path = write(f"{tmp_path}/wide.json", json.dumps([{"n": n, "t": "x,]" * 50} for n in range(4000)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", os.path.getsize(path) // 20)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        assert json_arrays._fragments(spark, [path]).rdd.getNumPartitions() >= 20
+        rows = json_records.scan_arrays(spark, [path]).select("pos", F.expr("record:n::int").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(tuple(r) for r in rows) == [(n, n) for n in range(4000)]
 
 
 def test_array_above_one_variant(spark, tmp_path):
@@ -114,19 +152,22 @@ def test_write_records(spark, tmp_path):
     assert text == '{"t":"é\\n","i":1}\n'
 
 
-def parts(path):
-    return {d: sorted(f for f in os.listdir(f"{path}/{d}") if f.startswith("part-")) for d in os.listdir(path) if d.startswith("label=")}
+def visible(path):
+    return sorted(f for f in os.listdir(path) if not f.startswith("."))
+
+
+def numbered(spark, n):
+    return spark.range(n).select("id", F.concat(F.lit("é"), F.col("id")).alias("t")).repartition(4)
 
 
 @pytest.mark.parametrize("pretty", [False, True])
-def test_write_chunks(spark, tmp_path, pretty):
-    df = spark.range(25).select("id", F.concat(F.lit("é"), F.col("id")).alias("t")).repartition(4)
-    sinks.write_chunks(df, f"{tmp_path}/c", "id", 10, pretty)
-    found = parts(f"{tmp_path}/c")
-    assert sorted(found) == ["label=part001", "label=part002", "label=part003"] and all(len(f) == 1 for f in found.values())
+def test_chunk_files(spark, tmp_path, pretty):
+    folder = f"{tmp_path}/c"
+    names = sinks.write_chunk_files(numbered(spark, 25), folder, "sub.set", ".json", "id", 10, pretty)
+    assert names == visible(folder) == [f"sub.set.part00{i}.json" for i in (1, 2, 3)]
     read = []
-    for d in sorted(found):
-        text = open(f"{tmp_path}/c/{d}/{found[d][0]}", encoding="utf-8").read()
+    for name in names:
+        text = open(f"{folder}/{name}", encoding="utf-8").read()
         want = [{"id": i, "t": f"é{i}"} for i in range(len(read), min(25, len(read) + 10))]
         if pretty:
             assert text == json.dumps(want, ensure_ascii=False, indent=2) + "\n"
@@ -134,8 +175,61 @@ def test_write_chunks(spark, tmp_path, pretty):
             assert [json.loads(x) for x in text.splitlines()] == want
         read += want
     assert len(read) == 25
-    sinks.write_chunks(df, f"{tmp_path}/one", "id", 0)
-    assert spark.read.json(f"{tmp_path}/one").count() == 25
+    # One file has no number, and those of the earlier output are gone; other files stay.
+    write(f"{folder}/sub.set.notes.json", "{}")
+    assert sinks.write_chunk_files(numbered(spark, 7), folder, "sub.set", ".json", "id", 10, pretty) == ["sub.set.json"]
+    assert visible(folder) == ["sub.set.json", "sub.set.notes.json"]
+    assert json_records.scan_records(spark, [f"{folder}/sub.set.json"]).count() == 7
+    assert sinks.write_chunk_files(numbered(spark, 12), folder, "sub.set", ".json", "id", 0) == ["sub.set.json"]
+    assert spark.read.json(f"{folder}/sub.set.json").count() == 12
+
+
+def test_chunk_commit_stops_anywhere(spark, tmp_path, monkeypatch):
+    """The commit is stopped before each of its moves and deletions in turn and run again."""
+    done = sinks.commit_chunk_files
+    for steps in range(6):
+        folder = f"{tmp_path}/{steps}"
+        monkeypatch.setattr(sinks, "commit_chunk_files", lambda *a: [])
+        sinks.write_chunk_files(numbered(spark, 25), folder, "s", ".json", "id", 10)
+        write(f"{folder}/s.part004.json", "old")
+        write(f"{folder}/s.part002.json", "old")
+        left = [steps]
+
+        def stopping(real):
+            def call(*args):
+                if left[0] == 0:
+                    raise KeyboardInterrupt
+                left[0] -= 1
+                return real(*args)
+
+            return call
+
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(sinks, "move", stopping(sinks.move))
+            m.setattr(sinks, "delete", stopping(sinks.delete))
+            done(spark, folder, "s", ".json")
+            raise KeyboardInterrupt
+        if os.path.exists(f"{folder}/s.staged"):
+            done(spark, folder, "s", ".json")
+        assert visible(folder) == [f"s.part00{i}.json" for i in (1, 2, 3)]
+        assert sorted(r.id for r in spark.read.json(f"{folder}/s.part*.json").collect()) == list(range(25))
+
+
+def test_checkpoint_writes_stop_anywhere(spark, tmp_path):
+    path = f"{tmp_path}/run"
+    at = lambda n: spark.createDataFrame([("m", i, float(i)) for i in range(n)], "model string, level bigint, tps double")
+    levels = lambda: len(sinks.read_checkpoint(spark, path).first().completed)
+    for n in (1, 2, 3, 4, 5):
+        sinks.write_checkpoint(at(n), path, ["model"])
+        assert levels() == n
+    assert len(os.listdir(path)) == 1 + sinks.KEPT_SNAPSHOTS
+    # A write that has written nothing, or some files but no marker.
+    os.makedirs(f"{path}/snapshot-000000006")
+    assert levels() == 5
+    write(f"{path}/snapshot-000000006/part-00000.parquet", "half a file")
+    assert levels() == 5
+    sinks.write_checkpoint(sinks.read_checkpoint(spark, path).select("model", F.explode("completed").alias("level", "s")).select("model", F.col("level").cast("bigint"), "s.*"), path, ["model"])
+    assert levels() == 5 and sorted(os.listdir(path))[-1] == "snapshot-000000006"
 
 
 def test_results_and_checkpoint(spark, tmp_path):
