@@ -8,7 +8,7 @@ from tallyloom.sources.files import scratch_dir
 
 #: A key with more rows than this is split into parts.
 HOT_ROWS = 1_000_000
-#: A written table of at most this many rows is broadcast.
+#: A list of at most this many ids is broadcast.
 BROADCAST_ROWS = 100_000
 
 
@@ -59,10 +59,3 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def lookup_join(rows: DataFrame, staged: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Join rows to a staged table: broadcast if its counted size allows, else a spread join."""
-    if staged.count() <= BROADCAST_ROWS:
-        return null_safe_join(rows, F.broadcast(staged), keys, how)
-    return spread_join(rows, staged, keys, spread, how)

@@ -848,7 +848,7 @@ def stream_dedupe(spark, sf_dir):
     for i in range(len(cuts) + 1):
         docs.filter(place == i).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
-    write_deduped(stream, F.col("key"), "doc_id", f"{path}/rows", f"{path}/keys", f"{path}/checkpoint").awaitTermination()
+    write_deduped(stream, F.col("key"), "doc_id", f"{path}/rows", f"{path}/keys", f"{path}/checkpoint", buckets=64).awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("doc_id", "key", "lang")
 
 

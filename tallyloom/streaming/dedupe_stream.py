@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyloom.operators.select import dedupe
 from tallyloom.sources.files import delete, exists
 
-#: Hash buckets of a run; the list of those that a trigger hits goes through the driver.
+#: Hash buckets of a run, each sorted by one task; the list of those that a trigger hits goes through the driver.
 BUCKETS = 1024
 
 
@@ -52,19 +52,21 @@ def _read(spark: SparkSession, keys: str, runs: list[tuple[int, int]], buckets:
     return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
 
-def write_deduped(stream: DataFrame, key: Column, pos: str, output: str, keys: str, checkpoint: str) -> StreamingQuery:
+def write_deduped(
+    stream: DataFrame, key: Column, pos: str, output: str, keys: str, checkpoint: str, buckets: int = BUCKETS
+) -> StreamingQuery:
     """Keep the first arrival of each key for good; a trigger's own copies are ranked by ``pos``.
 
     ``key`` is the hexadecimal text of a hash. The stream runs until the files
-    present have been read.
+    present have been read. ``buckets`` must stay the same for a stream.
     """
-    bucket = F.pmod(F.xxhash64("__key"), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = dedupe(batch, key, pos).withColumn("__key", F.unhex(key)).withColumn("bucket", bucket)
         if batch_id:
-            hit = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            hit = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # a number for each bucket at most
             own = own.join(_read(spark, keys, runs_before(batch_id), hit), ["bucket", "__key"], "left_anti")
         own.drop("__key", "bucket").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
         kept = spark.read.schema(batch.schema).parquet(f"{output}/batch={batch_id}")

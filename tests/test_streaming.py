@@ -89,12 +89,12 @@ def test_runs_of_keys_are_the_binary_digits():
 def test_dedupe(spark, tmp_path):
     """Copies in one trigger, in neighbouring and in far ones; the first arrival stays, and merged runs are gone."""
     df = spark.range(330).select("id", (F.col("id") % 70).cast("string").alias("t"))
-    stream = arriving(spark, in_order(df, ["id"], 11), f"{tmp_path}/in")
-    write_deduped(stream(), F.sha2("t", 256), "id", f"{tmp_path}/out", f"{tmp_path}/keys", f"{tmp_path}/ck").awaitTermination()
+    stream = arriving(spark, in_order(df, ["id"], 6), f"{tmp_path}/in")
+    write_deduped(stream(), F.sha2("t", 256), "id", f"{tmp_path}/out", f"{tmp_path}/keys", f"{tmp_path}/ck", buckets=16).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(70))
     assert len(os.listdir(f"{tmp_path}/keys")) <= 5
-    arriving(spark, [df.select((F.col("id") + 1000).alias("id"), "t"), spark.createDataFrame([(7, "new")], "id bigint, t string")], f"{tmp_path}/in", 11)
-    write_deduped(stream(), F.sha2("t", 256), "id", f"{tmp_path}/out", f"{tmp_path}/keys", f"{tmp_path}/ck").awaitTermination()
+    arriving(spark, [df.select((F.col("id") + 1000).alias("id"), "t"), spark.createDataFrame([(7, "new")], "id bigint, t string")], f"{tmp_path}/in", 6)
+    write_deduped(stream(), F.sha2("t", 256), "id", f"{tmp_path}/out", f"{tmp_path}/keys", f"{tmp_path}/ck", buckets=16).awaitTermination()
     assert sorted((r.id, r.t) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted([(i, str(i)) for i in range(70)] + [(7, "new")])
 
 
