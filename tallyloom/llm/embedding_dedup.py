@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tallyloom.llm.common import staged, whole_keys
 from tallyloom.llm.components import components
@@ -131,7 +132,9 @@ def _units(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and kind.elementType == FloatType()  # moved as they are; all sums are doubles
+    vectors = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), "label")
     classes = staged(vectors.where(VALID).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     hashed = staged(classes.withColumn("hashes", hasher(*plan(largest, threshold, recall))("embedding")))
@@ -142,7 +145,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = some.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "table", F.col("own").alias("side"), (F.col("own") != F.col("other")).alias("cross"))
     # A unit of two chunks holds both; crossed rows of one chunk only find no partner there.
-    filled = units.join(hashed.select("id", "embedding", "hashes", "copies"), "id")
+    # Only the hashes of earlier tables are asked for.
+    filled = units.join(hashed.select("id", "embedding", "hashes", "copies"), "id").withColumn("hashes", F.slice("hashes", F.lit(1), F.col("table")))
     found = staged(filled.repartition("key").sortWithinPartitions("key").mapInPandas(_units(threshold), "a long, b long, n long"))
     groups = components(found.where("b is not null").select("a", "b"))
     sums = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
